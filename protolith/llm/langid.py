@@ -190,6 +190,20 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language."""
+    names = docs.columns
+
+    def run(batches):
+        at = names.index("text")
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                yield part.filter(pa.array([x[0] != UNKNOWN for x in predict(model, part.column(at).cast(pa.string()).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 

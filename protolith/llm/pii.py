@@ -185,10 +185,10 @@ def scored(m: Column, before: Column, kind: str) -> Column:
 
 # --- operator -------------------------------------------------------------------------------------------------------
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base and spans: arrays of (start, k, end) in order, k the number of the kind."""
+def detect(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text, base and spans: arrays of (start, k, end) in order, k the number of the kind; and other columns."""
     text = F.coalesce("text", F.lit(""))
-    df = documents(docs).select("doc_id", "text", *[found(text, BASE[k], FITS[k]).alias(f"_{k}") for k in BASE])
+    df = documents(docs, *carried).select("doc_id", "text", *carried, *[found(text, BASE[k], FITS[k]).alias(f"_{k}") for k in BASE])
 
     def short(k, spans):
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("k"), x["end"].alias("end")))
@@ -196,7 +196,7 @@ def detect(docs: DataFrame) -> DataFrame:
     df = df.withColumn("base", F.array_sort(F.concat(*[short(k, F.col(f"_{k}")) for k in BASE])))
     # Where the fixed formats are, nothing else is proposed; the two generators can't overlap each other.
     df = df.withColumn("_masked", replaced(text, F.col("base"), lambda s, at: F.repeat(F.lit("\x01"), s["end"] - F.greatest(s["start"], at))))
-    df = df.select("doc_id", "text", "base", "_masked", *[found(F.col("_masked"), MORE[k], lambda m: F.lit(True)).alias(f"_{k}") for k in MORE])
+    df = df.select("doc_id", "text", *carried, "base", "_masked", *[found(F.col("_masked"), MORE[k], lambda m: F.lit(True)).alias(f"_{k}") for k in MORE])
 
     def chosen(k):
         def before(x):
@@ -205,7 +205,7 @@ def detect(docs: DataFrame) -> DataFrame:
         fine = F.filter(f"_{k}", lambda x: _let(before(x), lambda b: scored(x["m"], b, k)) >= model(k)[1])
         return short(k, F.when(F.size(f"_{k}") > 0, fine).otherwise(F.expr(_NONE)))
 
-    return df.select("doc_id", "text", "base", F.array_sort(F.concat("base", *[chosen(k) for k in MORE])).alias("spans"))
+    return df.select("doc_id", "text", *carried, "base", F.array_sort(F.concat("base", *[chosen(k) for k in MORE])).alias("spans"))
 
 
 def replaced(text: Column, spans: Column, by) -> Column:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, groups_of, materialize, table
 from .hashing import mix
@@ -235,13 +236,15 @@ def _removed(batches):
             edges = [0, *(x for r in spans for x in (r["start"], r["stop"])), len(data)]
             rows.append((doc, len(data), spans, b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], names=[*schema.names, *b.schema.names[3:]])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, maximal, in bytes) and kept (the remaining bytes) of every document."""
+def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, n_bytes, spans (removed, maximal, in bytes), kept (the remaining bytes) and other columns of every document."""
     none = -(1 << 63)
-    base = documents(docs).select(F.coalesce("doc_id", F.lit(none)).alias("doc_id"), F.hash("text").alias("th"), "text")
+    rows = documents(docs, *carried).select(F.coalesce("doc_id", F.lit(none)).alias("doc_id"), F.hash("text").alias("th"), "text", *carried)
+    base = rows.select("doc_id", "th", "text")
     whose = ["doc_id", "th"]
     dealt = base.mapInArrow(_anchors, "doc_id long, th int, at long, key long, ctx long")
     shared = dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
@@ -260,8 +263,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     low = F.shiftright("at", 16)
     whole = suffixes.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select(*whose, low.alias("start"), (low + F.col("at").bitwiseAND(255) + LENGTH).alias("stop"))
     ranges = whole.union(cold).union(hot).groupBy(*whose).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    out = base.join(ranges, whose, "left").select("doc_id", "text", "ranges")
-    out = out.mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    out = rows.join(ranges, whose, "left").select("doc_id", "text", "ranges", *carried)
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    out = out.mapInArrow(_removed, T.StructType(schema.fields + [out.schema[c] for c in carried]))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
 
 
