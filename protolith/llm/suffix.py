@@ -11,9 +11,11 @@ the depth before. Three things make it a distributed job:
 * Of a string's Q-grams only one, the anchor of least name, is put into a first bucket. Equal strings have equal
   anchors at equal offsets, so first buckets of one anchor clear all strings around it: about one suffix in 80 is dealt.
 * Around an anchor, the bytes of all its strings are its context. Contexts that occur twice or more are repeated as a
-  whole. The others are refined against the distinct contexts of their bucket: in one task where a bucket has at most
-  TASK_CONTEXTS, else string by string through counts that are summed before they are dealt. No text of a hot bucket
-  is gathered, and nothing is capped.
+  whole. The others are refined against the distinct contexts of their bucket, in one task where a bucket has at most
+  TASK_CONTEXTS. A larger bucket is first refined as a job: the strings of a context are cut into blocks of BLOCK
+  starts, which are dealt by the deeper bucket of the bytes that all strings of a block share; again blocks that occur
+  twice are repeated as a whole, and the others are refined in a task, or, where that bucket is still larger, string by
+  string through counts that are summed before they are dealt. No text of a hot bucket is gathered; nothing is capped.
 
 Null text counts as empty. Rows of one doc_id are told apart by their text; equal rows repeat each other. A null
 doc_id is kept. An empty table gives no rows. Long texts go through the kernels SEGMENT starts at a time.
@@ -35,6 +37,7 @@ LENGTH, Q = 200, 32
 #: Starts that a kernel handles at once.
 SEGMENT = 1 << 17
 TASK_CONTEXTS = 512
+BLOCK = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,6 +208,36 @@ def _refined(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANGE, strict=True)], schema=_RANGE)
 
 
+def _blocks(batches):
+    """Blocks of the strings of the contexts that a document's places name: (core's bucket, block's name)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int64()), ("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())])
+    for b in _contexts(batches):
+        for i in range(0, b.num_rows, 1024):
+            part = b.slice(i, 1024)
+            contexts = part.column(5).to_pylist()
+            data = b"".join(contexts)
+            size = np.array([len(c) for c in contexts])
+            words, base = eights(data), np.cumsum(size) - size
+            q, place = buckets(words), part.column(4).to_numpy()
+            low, more, back = place >> 16, place & 255, (place >> 8) & 255
+            # Blocks by distance before the anchor, so that equal strings are in equal blocks.
+            first = np.maximum(back - more, 0) // BLOCK
+            many = back // BLOCK - first + 1
+            owner = np.repeat(np.arange(len(contexts)), many)
+            j = np.arange(len(owner)) - (np.cumsum(many) - many)[owner] + first[owner]
+            a = np.maximum(back[owner] - (j * BLOCK + BLOCK - 1), 0)
+            z = np.minimum(back[owner] - j * BLOCK, more[owner])
+            core = base[owner] + back[owner] - j * BLOCK
+            depth = LENGTH - BLOCK + 1
+            key = q[core]
+            for later in (*range(Q, depth - Q, Q), depth - Q):
+                key = joined(key, q[core + later])
+            lo, hi = base[owner] + a, base[owner] + z
+            name = mix(joined(refined(q, lo), refined(q, hi)) ^ checks(words, lo) * _K ^ checks(words, hi)) + ((z - a) * 256 + j).astype(np.uint64) * _K
+            cols = [part.column(2).to_numpy()[owner], part.column(3).to_numpy()[owner], ((low[owner] + a) << 16) | (z - a), key.view(np.int64), name.view(np.int64), part.column(1).to_numpy()[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
 def _strings(batches):
     """The two identifiers of every string of the contexts that a document's places name."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64())])
@@ -254,14 +287,26 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     unlike = materialize(contexts.join(several, "key").select("key", "n", "m", "p.*"))
     places = lambda df: df.groupBy(*whose).agg(F.collect_list(F.struct("key", "n", "at")).alias("places"))
     text = lambda df: base.join(places(df), whose).select(*whose, "text", "places")
-    parts = text(unlike.filter(F.col("m") <= TASK_CONTEXTS)).mapInArrow(_contexts, "key long, n long, doc_id long, th int, at long, bytes binary")
+    # Buckets too large for a task: their blocks, by deeper buckets.
+    blocks = materialize(text(unlike.filter(F.col("m") > TASK_CONTEXTS)).mapInArrow(_blocks, "doc_id long, th int, at long, key long, ctx long, n long"))
+    named = materialize(blocks.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", F.col("n").alias("was"))).alias("p")))
+    deeper = named.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    # Those of contexts that are repeated anyway only take part.
+    straddling = materialize(named.join(deeper, "key").select("key", F.greatest("n", "p.was").alias("n"), "m", "p.doc_id", "p.th", "p.at"))
+    small = F.col("m") <= TASK_CONTEXTS
+    parts = text(unlike.filter(small).union(straddling.filter(small))).mapInArrow(_contexts, "key long, n long, doc_id long, th int, at long, bytes binary")
     whole_buckets = parts.groupBy("key").agg(F.collect_list(F.struct("n", *whose, "at", "bytes")).alias("c")).select("c")
     cold = whole_buckets.mapInArrow(_refined, "doc_id long, th int, start long, stop long")
-    strings = text(unlike.filter(F.col("m") > TASK_CONTEXTS)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th int, start long")
+    strings = text(straddling.filter(~small)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th int, start long")
     twice = strings.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b")
     hot = strings.filter("n = 1").join(twice, ["a", "b"]).select(*whose, "start", (F.col("start") + LENGTH).alias("stop"))
     low = F.shiftright("at", 16)
-    whole = suffixes.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select(*whose, low.alias("start"), (low + F.col("at").bitwiseAND(255) + LENGTH).alias("stop"))
+
+    def repeated(places_, names):
+        found = places_.join(names.filter("n > 1").select("key", "ctx"), ["key", "ctx"])
+        return found.select(*whose, low.alias("start"), (low + F.col("at").bitwiseAND(255) + LENGTH).alias("stop"))
+
+    whole = repeated(suffixes, contexts).union(repeated(blocks.filter("n = 1").drop("n"), named))
     ranges = whole.union(cold).union(hot).groupBy(*whose).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     out = rows.join(ranges, whose, "left").select("doc_id", "text", "ranges", *carried)
     schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
