@@ -1,4 +1,292 @@
-"""Queries of the table operators, and the SQL they are compared with."""
+"""Queries of the table operators on the test tables, and the SQL they are compared with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ranges, text, types
+from ..operators import knowledge, lookup, matching, ordered
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- scalar normalisers ---------------------------------------------------------------------------------------------
+
+_TYPES = "CASE p_size % 8 WHEN 0 THEN 'uint 32' WHEN 1 THEN '2字节' WHEN 2 THEN 'UINTERGER-32（4字节）' WHEN 3 THEN '24bit' WHEN 4 THEN 'Float' WHEN 5 THEN '3 bytes' WHEN 6 THEN 'X' || p_size ELSE '见表' END"
+
+
+@query(f"""
+SELECT p_partkey, described,
+  CASE p_size % 8 WHEN 0 THEN 'UINT32' WHEN 1 THEN 'UINT16' WHEN 2 THEN 'UINT32' WHEN 3 THEN '24bit' WHEN 4 THEN 'FLOAT' WHEN 5 THEN '' WHEN 6 THEN described ELSE '' END AS std_type,
+  CAST(CASE p_size % 8 WHEN 0 THEN 32 WHEN 1 THEN 16 WHEN 2 THEN 32 WHEN 3 THEN 24 WHEN 4 THEN 32 WHEN 6 THEN p_size ELSE 0 END AS INTEGER) AS bits,
+  CASE WHEN p_size % 8 IN (0, 2, 3, 4) THEN 'normal' WHEN p_size % 8 = 1 THEN 'inferred' ELSE 'warning' END AS type_status
+FROM (SELECT p_partkey, p_size, {_TYPES} AS described FROM part)""")
+def type_standardize(spark, sf_dir):
+    d = _read(spark, sf_dir, "part").select("p_partkey", F.expr(_TYPES).alias("described"))
+    return d.withColumn("t", types.canonical(F.col("described"))).select("p_partkey", "described", "t.*")
+
+
+_RANGES = "CASE l_linenumber % 5 WHEN 0 THEN '[' || CAST(CAST(l_quantity AS INT) AS STRING) || '~100)' WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) || ' - 400' WHEN 2 THEN '-40 ~ -' || CAST(CAST(l_quantity AS INT) AS STRING) WHEN 3 THEN '{1，2 , ' || CAST(CAST(l_quantity AS INT) AS STRING) || '}' ELSE '—' END"
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, {_RANGES.replace('STRING', 'VARCHAR')} AS value FROM lineitem),
+n AS (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(value, '^[\\[(]', ''), '[\\])]$', '')), '-([0-9]+)', '__NEG__\\1', 'g'), '\\s*~\\s*', ',', 'g') AS m FROM s),
+r AS (SELECT *, replace(replace(replace(m, '-__NEG__', '__HOLD__'), '-', ','), '__HOLD__', '-__NEG__') AS k FROM n)
+SELECT l_orderkey, l_linenumber, value,
+  CASE WHEN value = '—' THEN value WHEN value LIKE '{{%' THEN '{{' || regexp_replace(substr(value, 2, length(value) - 2), '\\s*[,，]\\s*', ', ', 'g') || '}}'
+  ELSE '[' || replace(regexp_replace(k, '\\s*,\\s*', ',', 'g'), '__NEG__', '-') || ']' END AS value_range FROM r""")
+def range_format(spark, sf_dir):
+    d = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_RANGES).alias("value"))
+    return d.withColumn("value_range", ranges.formatted(F.col("value")))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE abs(p_size - p_size % 7) + 1 END AS INTEGER) AS bits FROM part")
+def bit_range(spark, sf_dir):
+    d = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("D"), F.col("p_size"))).otherwise(F.concat(F.lit("D"), F.col("p_size"), F.lit("~D"), F.col("p_size") % 7))
+    return _read(spark, sf_dir, "part").select("p_partkey", types.bit_width(d).alias("bits"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '{0x' || user_id || ', 0x1F}' WHEN user_id % 3 = 0 THEN '{0, ' || user_id || '}' END AS values_ FROM events")
+def enum_extract(spark, sf_dir):
+    u = F.col("user_id")
+    d = F.when(u % 2 == 0, F.concat(F.lit("0x"), u, F.lit(":"), F.col("event_type"), F.lit(" 0X1F：on"))).when(u % 3 == 0, F.concat(F.lit("0:off；"), u, F.lit("：on"))).otherwise("none")
+    return _read(spark, sf_dir, "events").select("event_id", ranges.enumerated(d).alias("values_"))
+
+
+@query("""SELECT p_partkey, bit_pos, CAST(8 AS INTEGER) AS bits, CASE WHEN p_size IN (1, 2, 4, 8) THEN 'UINT' || (8 * p_size) END AS parent_type
+FROM (SELECT p_partkey, p_size, unnest(range(1, p_size + 1)) AS bit_pos FROM part)""")
+def bit_expand(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_size").cast("long"))).alias("bit_pos"), types.of_bytes(F.col("p_size")).alias("parent_type"))
+    return p.withColumn("bits", types.bit_width(F.lit("D7~D0")))
+
+
+@query("SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[,，;；\\n\\t|]'), lambda x: regexp_replace(x, '^[\\s\\x{85}\\p{Z}]+|[\\s\\x{85}\\p{Z}]+$', '', 'g')), lambda x: x <> '')) AS field FROM documents")
+def tokenize_fields(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.explode(text.fields(F.col("text"))).alias("field"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS plain FROM pages")
+def html_clean(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", text.without_tags(F.col("html")).alias("plain"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the')")
+def keyword_filter(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").filter(F.lower("text").contains("the")).select("doc_id", "source")
+
+
+@query("""SELECT l_orderkey, list_sort(list(l_returnflag)) = list_sort(list(l_linestatus)) AS same_multiset, len(list_filter(['N', 'O'], lambda x: NOT list_contains(list(l_returnflag) || list(l_linestatus), x))) = 0 AS has_base
+FROM lineitem GROUP BY l_orderkey""")
+def multiset_and_subset(spark, sf_dir):
+    g = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("a"), F.collect_list("l_linestatus").alias("b"))
+    return g.select("l_orderkey", text.same_multiset(F.col("a"), F.col("b")).alias("same_multiset"), text.contains_all(F.concat("a", "b"), F.array(F.lit("N"), F.lit("O"))).alias("has_base"))
+
+
+@query("""SELECT l_orderkey, string_agg(v, ',' ORDER BY l_linenumber, v) AS headers FROM (
+  SELECT l_orderkey, l_linenumber, l_returnflag AS v, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS r FROM lineitem)
+WHERE r = 1 OR v IS DISTINCT FROM b GROUP BY l_orderkey""")
+def header_dedup(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
+    g = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("a"))
+    return g.select("l_orderkey", F.array_join(F.transform(text.headers(F.col("a.l_returnflag")), lambda x: x["name"]), ",").alias("headers"))
+
+
+# --- ordered operators ----------------------------------------------------------------------------------------------
+
+_W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+
+
+@query(f"SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) {_W}) AS b, row_number() {_W}) AS r FROM events) WHERE r = 1 OR event_type IS DISTINCT FROM b")
+def run_dedup(spark, sf_dir):
+    return ordered.without_runs(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+
+
+@query(f"SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM events")
+def fill_down(spark, sf_dir):
+    v = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+    return ordered.filled_down(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], v, "filled").select("event_id", "filled")
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations")
+def preceding_para(spark, sf_dir):
+    v = F.when(F.col("role") == "user", F.col("text"))
+    return ordered.preceding(_read(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], v, "before").select("conv_id", "turn", "before")
+
+
+@query(f"SELECT event_id, min(CASE WHEN event_type = 'error' THEN event_id END) {_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM events")
+def next_asof(spark, sf_dir):
+    v = F.when(F.col("event_type") == "error", F.col("event_id"))
+    return ordered.following(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], v, "next_id").select("event_id", "next_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN r = 1 THEN o_orderpriority END AS o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
+def first_row_meta(spark, sf_dir):
+    j = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return ordered.on_first_row(j, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], ["o_orderpriority"]).select("l_orderkey", "l_linenumber", "o_orderpriority")
+
+
+@query("SELECT o_orderkey, CAST(50 + floor(30 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) / count(*) OVER (PARTITION BY o_custkey)) AS BIGINT) AS progress FROM orders")
+def progress_curve(spark, sf_dir):
+    return ordered.progress(_read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "progress")
+
+
+# --- knowledge base, quality, history -------------------------------------------------------------------------------
+
+
+def _mappings(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("u"), "user_id").alias("source"), F.col("event_type").alias("target"), F.concat(F.lit("t"), F.col("event_id") % 3).alias("table_id"), (F.col("event_id") % 100 / 100.0).cast("double").alias("confidence"), F.lit(1).cast("long").alias("hits"), F.col("event_id").alias("ord"))
+
+
+_MAPPINGS = "(SELECT 'u' || user_id AS source, event_type AS target, 't' || (event_id % 3) AS table_id, CAST(event_id % 100 / 100.0 AS DOUBLE) AS confidence, event_id AS ord FROM events)"
+
+
+@query(f"SELECT source, table_id, arg_min(target, ord) AS target, max(confidence) AS confidence, count(*) AS hits, min(ord) AS first_seen FROM {_MAPPINGS} GROUP BY source, table_id")
+def kb_upsert_fold(spark, sf_dir):
+    return knowledge.folded(_mappings(spark, sf_dir), "ord")
+
+
+@query(f"SELECT table_id, count(*) AS total, count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium, count(*) FILTER (confidence < 0.7) AS low FROM {_MAPPINGS} GROUP BY table_id")
+def kb_stats(spark, sf_dir):
+    return knowledge.stats(_mappings(spark, sf_dir), "table_id", "confidence")
+
+
+@query(f"""SELECT source, target, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, ord) AS r FROM {_MAPPINGS}) WHERE r = 1 ORDER BY confidence DESC, ord LIMIT 10""")
+def kb_query_rank(spark, sf_dir):
+    return knowledge.best_targets(_mappings(spark, sf_dir), "source", [F.desc("confidence"), "ord"]).select("source", "target", "confidence")
+
+
+@query(f"SELECT ord, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS band, CASE WHEN confidence > 0.9 THEN 'download' WHEN confidence > 0.7 THEN 'ask' ELSE 'map' END AS route FROM {_MAPPINGS}")
+def confidence_bands(spark, sf_dir):
+    c = F.col("confidence")
+    return _mappings(spark, sf_dir).select("ord", knowledge.band(c).alias("band"), knowledge.route(c).alias("route"))
+
+
+_KIND = "CASE c_custkey % 7 WHEN 0 THEN 'unmatched' WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'alias' WHEN 3 THEN 'semantic' ELSE 'exact' END"
+
+
+@query(f"""WITH q AS (SELECT c_nationkey, count(*) FILTER (k = 'exact') AS exact_count, count(*) FILTER (k = 'semantic') AS semantic_count, count(*) FILTER (k = 'alias') AS alias_count,
+  count(*) FILTER (k IN ('fuzzy', 'semantic', 'alias')) AS fuzzy_count, count(*) FILTER (k = 'unmatched') AS unmatched_count, count(*) AS total FROM (SELECT c_nationkey, {_KIND} AS k FROM customer) GROUP BY c_nationkey),
+s AS (SELECT *, (exact_count + 0.85::DOUBLE * semantic_count + 0.8::DOUBLE * alias_count + 0.7::DOUBLE * (fuzzy_count - semantic_count - alias_count)) / total AS x FROM q)
+SELECT * EXCLUDE (x), round(x, 3) AS score, CASE WHEN x > 0.9 THEN 'excellent' WHEN x > 0.7 THEN 'good' ELSE 'poor' END AS level FROM s""")
+def quality_score(spark, sf_dir):
+    return knowledge.quality(_read(spark, sf_dir, "customer").select("c_nationkey", F.expr(_KIND).alias("k")), ["c_nationkey"], "k")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def history_page(spark, sf_dir):
+    return knowledge.page(_read(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderkey"], 3, 20).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10)")
+def dashboard_recent(spark, sf_dir):
+    return knowledge.dashboard(_read(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderkey"], F.col("o_orderstatus") == "F")
+
+
+# --- lookups, sets, differences -------------------------------------------------------------------------------------
+
+
+def _names(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select(F.concat(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("_tail")).otherwise(F.lit(""))).alias("name"))
+
+
+@query("""WITH names AS (SELECT n_name || CASE WHEN n_nationkey % 2 = 0 THEN '_tail' ELSE '' END AS name FROM nation),
+m AS (SELECT name, n_name AS key, CASE WHEN name = n_name THEN 1 ELSE 2 END AS tier, n_nationkey AS ordinal FROM names JOIN nation ON contains(name, n_name) OR contains(n_name, name))
+SELECT name, key, CAST(tier AS INTEGER) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, ordinal) AS r FROM m) WHERE r = 1""")
+def tiered_lookup(spark, sf_dir):
+    entries = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("ordinal"))
+    return lookup.tiered(_names(spark, sf_dir), entries)
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, n_name) AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def meta_fill_absent(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("label"))
+    return lookup.filled(c, _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("label")), "k", ["label"]).select("c_custkey", "label")
+
+
+@query("SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def dictionary_last_wins(spark, sf_dir):
+    return lookup.last_of_key(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderpriority", "o_totalprice"])
+
+
+@query("""SELECT coalesce(a.o_orderkey, g.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'golden' WHEN g.o_orderkey IS NULL THEN 'actual' ELSE 'both' END AS side,
+  CAST(CASE WHEN a.o_orderkey IS NULL OR g.o_orderkey IS NULL THEN 0 ELSE (a.o_orderstatus IS DISTINCT FROM g.o_orderstatus)::INT + (a.o_orderpriority IS DISTINCT FROM g.o_orderpriority)::INT END AS INTEGER) AS mismatches
+FROM (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 13 <> 0) g ON a.o_orderkey = g.o_orderkey""")
+def golden_diff(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    g = o.filter("o_orderkey % 13 <> 0").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END"))
+    return lookup.differences(o.filter("o_orderkey % 11 <> 0"), g, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT name, ord FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY src, ord) AS r FROM (SELECT p_name AS name, p_partkey AS ord, 0 AS src FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT upper(p_name), p_partkey, 1 FROM part)) WHERE r = 1")
+def merge_by_name(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    return lookup.merged_by_name(p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")), p.select(F.upper("p_name").alias("name"), F.col("p_partkey").alias("ord")), "name", "ord")
+
+
+@query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT p_brand FROM part")
+def vocab_union(spark, sf_dir):
+    named = [_read(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in (("nation", "n_name"), ("region", "r_name"), ("part", "p_brand"))]
+    return named[0].union(named[1]).union(named[2]).distinct()
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)")
+def remaining_fields(spark, sf_dir):
+    used = _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    return _read(spark, sf_dir, "supplier").join(used, "s_suppkey", "left_anti").select("s_suppkey")
+
+
+# --- matching -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def cosine_topk(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    s = e.join(q, "label").filter("vec_id <> query_id").select("query_id", "vec_id", F.round(matching.cosine(F.col("q"), F.col("embedding")), 4).alias("similarity"))
+    return matching.best(s, "query_id", [F.desc("similarity"), "vec_id"], 5)
+
+
+@query()
+def fuzzy_match(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").select(F.col("p_name").alias("source"), "p_brand").distinct()
+    b = p.select("p_brand", F.col("source").alias("target")).groupBy("p_brand").agg(F.min("target").alias("target"))
+    s = p.join(b, "p_brand").withColumn("similarity", matching.ratio("source", "target"))
+    return matching.best(s.filter("similarity >= 0.7"), "source", [F.desc("similarity"), "target"], 1).select("source", "target", "similarity")
+
+
+@query()
+def greedy_automap(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation")
+    s = n.select(F.col("n_regionkey").alias("task"), F.col("n_name").alias("source"), F.col("n_nationkey").alias("source_ord"))
+    t = n.select(F.col("n_regionkey").alias("task"), F.lower("n_name").alias("target"), F.col("n_nationkey").alias("target_ord"))
+    scores = s.join(t, "task").withColumn("similarity", matching.ratio(F.lower("source"), F.col("target")))
+    return matching.greedy(scores, "task")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of messages with message ID, canonical type, bits and value range: rows made of part and lineitem."""
+    fields = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("seq"), F.expr(_RANGES).alias("value"))
+    kinds = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("message"), F.expr(_TYPES).alias("described"))
+    ids = lookup.last_of_key(kinds.withColumn("message_id", F.concat(F.lit("0x"), F.hex("p_partkey"))), "message", "p_partkey", ["message_id"])
+    out = fields.join(kinds, "p_partkey").join(ids, "message", "left").withColumn("t", types.canonical(F.col("described")))
+    return out.select("message", "message_id", "seq", "t.std_type", "t.bits", "t.type_status", ranges.formatted(F.col("value")).alias("value_range"))
