@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, table
+from .common import documents, groups_of, materialize, table
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS, CHUNK_CHARS = 800_000, 1 << 20
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
@@ -47,15 +47,42 @@ class _Words(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.left_out = encode, 0
 
     def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
+        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, texts: list[list[str]]) -> dict:
+        """The ids of all words of the texts: new ones are encoded in one call, and remembered while there is room.
+
+        When as many words have been left out as are remembered, others are frequent now, and all are forgotten.
+        """
+        new = [w for w in set().union(*texts) if w not in self]
+        if not new:
+            return self
+        if self.left_out > CACHE_WORDS:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+            self.left_out = 0
+        found = self.encode(" ".join(new), add_special_tokens=False)
+        word = np.array(found.word_ids)
+        if word[-1] + 1 != len(new):  # a word that isn't one to the library
+            return self
+        ids, cut = np.array(found.ids, "<u4"), np.searchsorted(word, np.arange(len(new) + 1))
+        data, cut = ids.tobytes(), (4 * cut).tolist()
+        more = {w: data[i:j] for w, i, j in zip(new, cut, cut[1:], strict=False)}
+        if len(self) + len(more) <= CACHE_WORDS:
+            self.update({w: x for w, x in more.items() if len(w) < 64})
+            return self if all(len(w) < 64 for w in new) else _Both(self, more)
+        self.left_out += len(more)
+        return _Both(self, more)
+
+
+class _Both:
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+
+    def __getitem__(self, word):
+        return self.second[word] if word in self.second else self.first[word]
 
 
 @lru_cache(1)
@@ -66,12 +93,16 @@ def _tokenizer(path: str):
     return t, _Words(t.encode)
 
 
-def encode(text: str, path: str) -> bytes:
-    """The ids of a whole text, as the library gives them, as little-endian 32-bit bytes."""
+def encode_all(texts: list[str], path: str) -> list[bytes]:
+    """The ids of whole texts, as the library gives them, as little-endian 32-bit bytes."""
     t, words = _tokenizer(path)
-    if _OTHER.search(text):
-        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(map(words.__getitem__, _WORD.findall(text.lower())))
+    split = [None if _OTHER.search(x) else _WORD.findall(x.lower()) for x in texts]
+    known = words.learn([w for w in split if w is not None])
+    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(known.__getitem__, w)) for x, w in zip(texts, split, strict=True)]
+
+
+def encode(text: str, path: str) -> bytes:
+    return encode_all([text], path)[0]
 
 
 def vocabulary() -> str:
@@ -87,9 +118,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     def run(batches):
         where = path or vocabulary()
         for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "", where) + end
+            out, docs_, texts = [], b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            whole = (ids + end for i, j in groups_of([len(t) for t in texts], CHUNK_CHARS) for ids in encode_all(texts[i:j], where))
+            for doc, ids in zip(docs_, whole, strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
