@@ -26,6 +26,8 @@ from .common import documents, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK, PENALTY, CACHE_PARTS = "▁", 10.0, 400_000
+#: Parts of fewer characters are segmented many at a time and remembered.
+SHORT = 64
 #: Kinds of pieces in a model file.
 NORMAL, USER, BYTE = 1, 4, 6
 
@@ -126,6 +128,11 @@ class Trie:
                 yield k + 1, value[s]
 
 
+def _widths(lead: np.ndarray) -> np.ndarray:
+    """Bytes of the characters with these first bytes."""
+    return 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+
+
 class Codec:
     def __init__(self, model: list[tuple[str, float, int]]):
         self.pieces = model
@@ -141,6 +148,9 @@ class Codec:
         #: What each id stands for in a decoded text.
         self.told = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k in (NORMAL, USER) else b"" for p, _, k in model]
         self.seen: dict[str, bytes] = {}
+        self.arrays = [np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)]
+        self.scores = np.array(self.score, np.float64)
+        self.byte_ids = np.array([self.bytes_.get(b, 0) for b in range(256)], np.int64)
 
     def viterbi(self, part: str) -> list[int]:
         """The ids of the best segmentation of one part."""
@@ -166,28 +176,89 @@ class Codec:
             n = at
         return out[::-1]
 
-    def _ids(self, part: str) -> bytes:
-        ids = self.seen.get(part)
-        if ids is None:
-            if len(self.seen) >= CACHE_PARTS:
-                self.seen.clear()
-            ids = np.array(self.viterbi(part), "<i4").tobytes()
-            if len(part) < 64:
-                self.seen[part] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<i4")
-        if MARK in text:  # spelled in bytes, so that it isn't taken for a space
-            own = np.array([self.bytes_[b] for b in MARK.encode()], "<i4").tobytes()
-            parts = [self._plain(p, k == 0) for k, p in enumerate(text.split(MARK))]
-            return np.frombuffer(own.join(parts), "<i4")
-        return np.frombuffer(self._plain(text, True), "<i4")
-
-    def _plain(self, text: str, first: bool) -> bytes:
-        text = (MARK if first else "") + text.replace(" ", MARK)
-        return b"".join(map(self._ids, self.part.findall(text)))
+    def segment(self, parts: list[str]) -> list[bytes]:
+        """The ids of the best segmentations of short parts, by Viterbi over all of them at once."""
+        raw = [p.encode() for p in parts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        starts = ends - np.array([len(r) for r in raw])
+        first, stop = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        width = _widths(data[at])
+        # All positions walk down the trie together; those without a child drop out.
+        base, check, value = self.arrays
+        alone = np.zeros(len(data), bool)
+        edges, pos, s, depth = [], at, np.zeros(len(at), np.int64), 0
+        while len(pos):
+            t = base[s] + data[pos + depth] + 1
+            fits = t < len(check)
+            fits[fits] = check[t[fits]] == s[fits]
+            pos, s, depth = pos[fits], t[fits], depth + 1
+            told = value[s] >= 0
+            edges.append((pos[told], pos[told] + depth, value[s[told]]))
+            inside = pos + depth < stop[pos]
+            pos, s = pos[inside], s[inside]
+        source, target, ids = (np.concatenate(x) for x in zip(*edges, strict=True))
+        alone[source[target == source + _widths(data[source])]] = True
+        lost = at[~alone[at]]
+        source, target = np.concatenate([source, lost]), np.concatenate([target, lost + width[~alone[at]]])
+        ids = np.concatenate([ids, np.full(len(lost), -1)])
+        gain = np.where(ids >= 0, self.scores[ids], self.unknown)
+        # Edges that start equally far in their parts end at different places, so each step is one update.
+        order = np.argsort(source - first[source], kind="stable")
+        source, target, ids, gain = source[order], target[order], ids[order], gain[order]
+        steps = np.flatnonzero(np.diff(source - first[source], prepend=-1, append=-1))
+        where = target + np.searchsorted(ends, target, "left")  # one more place a part: its start
+        begin = source + np.searchsorted(ends, source, "right")
+        best, back = np.full(len(data) + len(parts), -np.inf), np.zeros(len(data) + len(parts), np.int64)
+        best[starts + np.arange(len(parts))] = 0.0
+        for i, j in zip(steps, steps[1:], strict=False):
+            s = best[begin[i:j]] + gain[i:j]
+            better = np.flatnonzero(s > best[where[i:j]])
+            best[where[i + better]], back[where[i + better]] = s[better], i + better
+        used = np.zeros(len(source), bool)
+        now, bottom = ends + np.arange(len(parts)), starts + np.arange(len(parts))
+        while len(now):
+            e = back[now]
+            used[e] = True
+            now, keep = begin[e], begin[e] > bottom
+            now, bottom = now[keep], bottom[keep]
+        taken = np.flatnonzero(used)
+        taken = taken[np.argsort(source[taken])]
+        source, target, ids = source[taken], target[taken], ids[taken]
+        n = np.where(ids >= 0, 1, target - source)
+        out = np.repeat(ids, n)
+        spelled = np.repeat(source, n) + np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        out[out < 0] = self.byte_ids[data[spelled[out < 0]]]
+        cuts = 4 * np.concatenate([[0], np.cumsum(n)])[np.searchsorted(source, np.append(starts, len(data)))]
+        flat = out.astype("<i4").tobytes()
+        return [flat[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+
+    def _learn(self, parts: set[str]) -> None:
+        """Fill the memory with the parts that it lacks."""
+        if len(self.seen) + len(parts) > CACHE_PARTS:
+            self.seen.clear()
+        new = [p for p in parts if p not in self.seen]
+        short = [p for p in new if len(p) < SHORT]
+        for i in range(0, len(short), 20_000):
+            some = short[i : i + 20_000]
+            self.seen.update(zip(some, self.segment(some), strict=True))
+        for p in new:
+            if len(p) >= SHORT:
+                self.seen[p] = np.array(self.viterbi(p), "<i4").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        own = np.array([self.bytes_[b] for b in MARK.encode()], "<i4").tobytes()
+        # A marker of the text itself is spelled in bytes, so that it isn't taken for a space.
+        split = [[self.part.findall((MARK if k == 0 else "") + p.replace(" ", MARK)) for k, p in enumerate(t.split(MARK))] if t else [] for t in texts]
+        self._learn({p for t in split for ps in t for p in ps})
+        out = [np.frombuffer(own.join(b"".join(map(self.seen.__getitem__, ps)) for ps in t), "<i4") for t in split]
+        for p in {p for t in split for ps in t for p in ps if len(p) >= SHORT}:
+            del self.seen[p]
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.told.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -216,7 +287,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 texts = part.column(1).to_pylist()
-                ids = [c.encode(t or "") for t in texts]
+                ids = c.encode_all(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array([int(fallback[x].sum()) for x in ids], pa.int64()), pa.array([c.decode(x.tolist()) for x in ids], pa.string())], schema=schema)
 
     return documents(docs).mapInArrow(run, "doc_id long, text string, ids array<int>, n_bytes_ids long, decoded string")

@@ -205,6 +205,9 @@ def test_sentencepiece():
             unknown = sum(1 for ch in t if ch not in score and ch != " ")
             got = sum(c.score[i] for i in ids if c.pieces[i][2] != pieces.BYTE) + unknown * c.unknown
             assert abs(got - best("▁" + t.replace(" ", "▁"))) < 1e-3
+    parts = ["▁the", "▁", "日本語", "é😀x", "▁▁▁▁ü", "\n", "a", "▁" + "ab" * 31]
+    assert c.segment(parts) == [np.array(c.viterbi(p), "<i4").tobytes() for p in parts]
+    assert [x.tolist() for x in c.encode_all([None, "", "x y", "z" * 500])] == [[], [], c.encode("x y").tolist(), c.encode("z" * 500).tolist()]
 
 
 def test_wrappers(spark):
