@@ -7,24 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ranges, text, types
 from ..operators import knowledge, lookup, matching, ordered
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return keep
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .registry import read as _read
 
 # --- scalar normalisers ---------------------------------------------------------------------------------------------
 
