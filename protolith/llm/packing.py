@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, groups_of, materialize, table
+from .common import documents, groups_of, materialize, release, table
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -117,6 +117,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
     def run(batches):
         where = path or vocabulary()
+        release()
         for b in batches:
             out, docs_, texts = [], b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             whole = (ids + end for i, j in groups_of([len(t) for t in texts], CHUNK_CHARS) for ids in encode_all(texts[i:j], where))
