@@ -143,7 +143,7 @@ def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int =
     pairs = member.join(pivot, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     extra = F.array_except("sa", "sb")
     star = compared(pairs, sets).select("a", "b", "na", "nb", extra.alias("extra")).withColumn("same", F.col("na") - F.size("extra"))
-    star = materialize(star.select("a", "b", "na", (F.col("nb") - F.col("same")).alias("l"), alike(F.col("same"), level).alias("link"), F.when(~alike(F.col("same"), 99), F.col("extra")).alias("extra")))
+    star = materialize(star.select("a", "b", "na", (F.col("nb") - F.col("same")).alias("l"), alike(F.col("same"), level).alias("link"), "extra"))
     links = star.filter("link").select("a", "b")
     label = components(links)
 
@@ -158,8 +158,9 @@ def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int =
     # |x - y| + |y - x| times (100 + level) may be (100 - level) * (nx + ny) at most, and ny is nx * 100 / level at most.
     most = (100 - level) * F.col("na") * (100 + level) / level
     told = told.withColumn("need", F.col("l") + F.col("own") - most / (100 + level)).withColumn("spare", F.col("l") - F.col("own"))
-    bound = told.groupBy("b").agg(F.max("spare").alias("most_spare"), F.min(F.when(F.col("out"), F.col("need"))).alias("least_need"))
-    told = materialize(told.join(bound, "b").filter("need <= most_spare and spare >= least_need").select("a", "b", "na", "l", "own", "c", "out"))
+    bound = told.groupBy("b").agg(F.max("spare").alias("most_spare"), F.min("need").alias("least_need"), F.max(F.when(F.col("out"), F.col("spare"))).alias("out_spare"), F.min(F.when(F.col("out"), F.col("need"))).alias("out_need"))
+    # A class that is out may meet any other; one that isn't meets only those that are.
+    told = materialize(told.join(bound, "b").filter("if(out, need <= most_spare and spare >= least_need, need <= out_spare and spare >= out_need)").select("a", "b", "na", "l", "own", "c", "out"))
     x, y = told.filter("out").alias("x"), told.alias("y")
     gap = F.col("x.own") + F.col("y.own") + F.abs(F.col("x.l") - F.col("y.l"))
     allowed = gap * (100 + level) <= (100 - level) * (F.col("x.na") + F.col("y.na"))

@@ -188,6 +188,17 @@ def test_near_duplicates(spark):
     assert minhash.group(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_through_a_close_class(spark):
+    """x is like z, which is 99% like the pivot p, but not like p: what x and z share beyond p isn't x's own."""
+    texts = []
+    for g in range(12):
+        w = lambda a, b: " ".join(f"g{g}w{i}" for i in range(a, b))  # noqa: B023, E731
+        copies = [f"{w(0, k)} g{g}c{k} {w(k + 1, 102)}" for k in range(5, 100, 12)]
+        texts += [w(0, 102), w(0, 103), w(0, 120), *copies]
+    rows = {x["doc_id"]: x["component_id"] for x in minhash.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {i: i - i % 11 for i in range(len(texts))}
+
+
 def test_sentencepiece():
     c = pieces.codec(pieces.vocabulary())
     score = {p: s for p, s, k in c.pieces if k in (pieces.NORMAL, pieces.USER)}
