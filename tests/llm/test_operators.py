@@ -199,6 +199,16 @@ def test_near_duplicates_through_a_close_class(spark):
     assert rows == {i: i - i % 11 for i in range(len(texts))}
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """An addition of 22% is a near duplicate at five words and 0.8, one of 30% isn't."""
+    import corpus_pipeline
+
+    w = lambda g, n: " ".join(f"g{g}w{i}" for i in range(n))
+    texts = [w(0, 104), w(0, 126), w(1, 104), w(1, 134), None, ""]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3, 4, 5]
+
+
 def test_sentencepiece():
     c = pieces.codec(pieces.vocabulary())
     score = {p: s for p, s, k in c.pieces if k in (pieces.NORMAL, pieces.USER)}
