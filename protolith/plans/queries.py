@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranges, text, types
-from ..operators import knowledge, lookup, matching, ordered
+from ..operators import cascade, knowledge, lookup, matching, ordered
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .registry import read as _read
 
@@ -252,10 +252,11 @@ def cosine_topk(spark, sf_dir):
 
 @query()
 def fuzzy_match(spark, sf_dir):
-    p = _read(spark, sf_dir, "part").select(F.col("p_name").alias("source"), "p_brand").distinct()
-    b = p.select("p_brand", F.col("source").alias("target")).groupBy("p_brand").agg(F.min("target").alias("target"))
-    s = p.join(b, "p_brand").withColumn("similarity", matching.ratio("source", "target"))
-    return matching.best(s.filter("similarity >= 0.7"), "source", [F.desc("similarity"), "target"], 1).select("source", "target", "similarity")
+    """The most alike other name of the whole vocabulary for each name."""
+    n = _read(spark, sf_dir, "part").select(F.col("p_name").alias("field")).filter("field is not null").distinct()
+    s = cascade.near(n, n.select(F.col("field").alias("word"), F.lit(0).alias("ord")), 0.7).filter("field <> word")
+    s = s.select(F.col("field").alias("source"), F.col("word").alias("target"), "similarity")
+    return matching.best(s, "source", [F.desc("similarity"), "target"], 1).select("source", "target", "similarity")
 
 
 @query()
