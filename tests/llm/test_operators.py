@@ -238,5 +238,11 @@ def test_wrappers(spark):
     assert [out[i] for i in range(6)] == [f"H & {i}\none {i}\ntwo bold x y" for i in range(6)] and out[6] == out[7] == ""
 
 
+@pytest.mark.parametrize("page", ["<body class='single has-sidebar'><article>{}</article></body>", "<body><div class='content-with-sidebar'>{}</div></body>", "<body><div class='no-sidebar'><article class='post comments-open'>{}</article></div></body>"])
+def test_wrappers_spare_the_article(page):
+    html = page.format("<p>one <span>two</span></p><pre>x <span class='hljs-comment'># y</span></pre><div class='share-buttons'>s</div>")
+    assert wrappers.extract(html, wrappers.main_of([html])) == "one two\nx # y"
+
+
 def test_digest_of_tokens():
     assert zlib.crc32(packing.encode("a", packing.vocabulary())) >= 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
