@@ -238,6 +238,14 @@ def test_wrappers(spark):
     assert [out[i] for i in range(6)] == [f"H & {i}\none {i}\ntwo bold x y" for i in range(6)] and out[6] == out[7] == ""
 
 
+def test_wrappers_drop_constant_blocks():
+    page = "<html><body><div class=top>Our town's paper since 1901</div><div class=story>{0}<p>Write to us at any time</p></div></body></html>"
+    pages = [page.format("".join(f"<p>story {i} has a sentence numbered {k} of its own</p>" for k in range(2 + i))) for i in range(4)]
+    w = wrappers.infer(pages)
+    want = "\n".join(f"story 1 has a sentence numbered {k} of its own" for k in range(3))
+    assert w["main"] == "div[class=story]" and wrappers.extract(pages[1], w["main"], wrappers._fixed(w["fixed"])) == want
+
+
 @pytest.mark.parametrize("page", ["<body class='single has-sidebar'><article>{}</article></body>", "<body><div class='content-with-sidebar'>{}</div></body>", "<body><div class='no-sidebar'><article class='post comments-open'>{}</article></div></body>"])
 def test_wrappers_spare_the_article(page):
     html = page.format("<p>one <span>two</span></p><pre>x <span class='hljs-comment'># y</span></pre><div class='share-buttons'>s</div>")
