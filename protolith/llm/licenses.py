@@ -1,8 +1,8 @@
 """Licence scans by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences (at line ends, and at white space after `.`, `!`, `?` or `;`), each is normalised (lower
-case; runs of other than a-z and 0-9 become one space) and mapped to the identifier of a known licence sentence. The
-identifiers, in order, are matched against ordered rules: each rule is a sequence of identifiers that follow each other
+Known licence sentences are found anywhere in a text, the longest first, and mapped to their identifiers. Runs of other
+than a-z and 0-9 count as one space, so sentences wrapped over lines, behind comment marks or inside longer sentences
+are found too; the SQL knows them only as whole lines or sentences, as the test tables have them. The identifiers, in order, are matched against ordered rules: each rule is a sequence of identifiers that follow each other
 with nothing known between them; what a rule matches is taken out before later rules are tried, so the more specific
 licence wins, and a rule counts once for each match.
 
@@ -84,11 +84,14 @@ RULES = (
 TRIGGERS = "(?i)licen[sc]|redistribut|permission|copy(?:right)? |endorse|warrant|software|public domain|waived"
 
 
+#: Known sentences in a text, the longest first: their words with anything but letters and digits of ASCII between them.
+FOUND = "(?i)(?<![a-z0-9])(?:" + "|".join(s.replace(" ", "[^a-z0-9]++") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")(?![a-z0-9])"
+
+
 def sentences(text: Column) -> Column:
-    """Array of normalised sentences that aren't empty."""
-    lines = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r\f]+", "$1\n"), "\n")
-    plain = F.transform(lines, lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "), F.lit(" ")))
-    return F.filter(plain, lambda s: s != "")
+    """Array of the known sentences, normalised, in order of text."""
+    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
+    return F.transform(found, lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -94,6 +94,18 @@ def test_licenses(spark):
     assert all(re.search(licenses.TRIGGERS, s) for s in licenses.SENTENCES.values())
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    keep = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    wrapped = lambda s, mark="": textwrap.fill(s, 72, initial_indent=mark, subsequent_indent=mark)
+    texts = [f"{wrapped(grant)}\n\n{wrapped(keep)}", wrapped(lgpl, " * "), "This file is released under the MIT License."]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in rows] == [["MIT"], ["LGPL-2.1-or-later"], ["MIT"]]
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     v = r.integers(-300, 300, (400, 8))
