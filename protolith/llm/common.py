@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none (tests)."""
+    """The folder that all executors share; a folder of this machine only where the session runs on it alone (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="protolith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -47,6 +49,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/protolith/" in f}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release() -> None:
     """Give back what earlier stages left free in a reused Python worker: Arrow's pool and, with glibc, the heap's top and holes."""
     gc.collect()
@@ -61,6 +71,17 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def carry(df: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one column `carried`, so that no name of theirs meets an operator's own."""
+    other = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in ("doc_id", "text")]
+    return df.select("doc_id", "text", (F.struct(*other) if other else F.struct(F.lit(None).cast("int").alias("none"))).alias("carried"))
+
+
+def uncarry(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `carry` packed, in their order, with doc_id and text as they are now."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("carried").getField(c).alias(c) for c in columns])
+
+
 def groups_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Slices [i, j) of consecutive items whose sizes sum to at most `most`, or that hold one item."""
     i, total = 0, 0

@@ -12,18 +12,22 @@ neither p nor any other class of p, the sets differ in a_x + a_y + |l_x - l_y| s
 bound allows are made, after classes that it allows with no other are gone, and verified on full sets. So no candidate
 is lost, and no bucket is gathered: buckets and pivots are joined, and Spark splits large ones.
 
+What is summed for a pivot is written before it is joined, so that the join's two sides are plain shuffles, of which
+Spark splits those of hot pivots and labels.
+
 Null and empty texts have no shingles and are linked with nothing. Rows of one doc_id with equal texts are in one
-component. A null doc_id takes no part in linking and keeps a null component. An empty table gives no rows.
+component; with different texts they are documents of their own, linked only if they are alike. A null doc_id takes no
+part in linking and keeps a null component. An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, table
+from .common import documents, forget, materialize, table
 from .hashing import mix, shingles
 
 WIDTH, BANDS, ROWS = 3, 24, 4
@@ -55,9 +59,9 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def _sketch(width: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 
-    def emit(ids, sets):
+    def emit(ids, th, sets):
         full = [k for k, s in enumerate(sets) if len(s)]
         sig = signatures([sets[k] for k in full], bands * rows).astype(np.uint64)
         name = np.zeros((len(full), bands), np.uint64)
@@ -70,19 +74,19 @@ def _sketch(width: int, bands: int, rows: int):
         lists: list = [None] * len(sets)
         for k, row in zip(full, name.view(np.int64), strict=True):
             lists[k] = row
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_arrays([ids, th, pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
         for batch in batches:
-            ids, sets, first, size = batch.column(0).cast(pa.int64()), [], 0, 0
+            ids, th, sets, first, size = batch.column(0).cast(pa.int64()), batch.column(2), [], 0, 0
             for k, s in shingles(batch.column(1).to_pylist(), width):
                 sets.append(s)
                 size += len(s)
                 if size > 1 << 17:
-                    yield emit(ids.slice(first, len(sets)), sets)
+                    yield emit(ids.slice(first, len(sets)), th.slice(first, len(sets)), sets)
                     sets, first, size = [], k + 1, 0
             if sets:
-                yield emit(ids.slice(first, len(sets)), sets)
+                yield emit(ids.slice(first, len(sets)), th.slice(first, len(sets)), sets)
 
     return run
 
@@ -116,29 +120,40 @@ def components(links: DataFrame) -> DataFrame:
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        near = materialize(both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near")))
         step = label.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("new"))
         hop = label.select(F.col("id").alias("new"), F.col("component").alias("hop"))
-        step = materialize(step.join(hop, "new", "left").select("id", F.col("component").alias("old"), F.least("new", "hop").alias("component")))
-        label = step.select("id", "component")
-        if not step.filter("old <> component").limit(1).count():
+        done = materialize(step.join(hop, "new", "left").select("id", F.col("component").alias("old"), F.least("new", "hop").alias("component")))
+        forget(label, near)
+        label = done.select("id", "component")
+        if not done.filter("old <> component").limit(1).count():
+            forget(both)
             return label
 
 
 def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's least doc_id) of every document."""
-    docs = documents(docs)
-    sketch = materialize(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>"))
+    docs = documents(docs, F.xxhash64("text").alias("th"))
+    sketch = materialize(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, th long, n_shingles long, set_a long, set_b long, buckets array<long>"))
     key = ["n_shingles", "set_a", "set_b"]
     full = sketch.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(full.groupBy(*key).agg(F.min("doc_id").alias("id"), F.max_by("buckets", "doc_id").alias("buckets")))
+    classes = materialize(full.groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max_by("buckets", "doc_id").alias("buckets")).select(*key, F.col("rep.doc_id").alias("id"), "rep.doc_id", "rep.th", "buckets"))
+    shared_ids = materialize(classes.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id"))
+    apart = not shared_ids.isEmpty()
+    if apart:  # one doc_id has several texts: the least class keeps the id, the others have one by hash
+        first = F.row_number().over(Window.partitionBy("id").orderBy("set_a", "set_b", "n_shingles")) == 1
+        odd = classes.join(shared_ids, "id", "left_semi").withColumn("id", F.when(first, F.col("id")).otherwise(F.xxhash64("id", "set_a", "set_b", "n_shingles"))).select(classes.columns)
+        classes = materialize(classes.join(shared_ids, "id", "left_anti").select(classes.columns).union(odd))
     named = classes.select("id", F.explode("buckets").alias("bucket"))
     shared = named.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     member = materialize(named.join(shared, "bucket"))
     fame = member.groupBy("id").agg(F.sum("m").alias("fame"))
     pivot = member.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("id"))).alias("p")).select("bucket", (-F.col("p.id")).alias("b"))
-    wanted = fame.select(F.col("id").alias("doc_id"))
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, n long, s array<long>"))
+    wanted = classes.join(fame.select("id"), "id", "left_semi").select("id", "doc_id", "th")
+    texts = docs.join(wanted, ["doc_id", "th"]).select("id", "text")
+    if apart or not full.groupBy("doc_id", "th").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
+    sets = materialize(texts.mapInArrow(_sets(width), "id long, n long, s array<long>"))
 
     pairs = member.join(pivot, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     extra = F.array_except("sa", "sb")
@@ -151,14 +166,16 @@ def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int =
         return label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
 
     told = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "na", "l", "extra", F.coalesce("ca", "a").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("out"))
-    open_ = told.filter("out").select("b").distinct()
+    told = materialize(told)
+    open_ = materialize(told.filter("out").select("b").distinct())
     told = materialize(told.join(open_, "b", "left_semi"))
     own = told.select("a", "b", F.explode("extra").alias("e")).groupBy("b", "e").agg(F.count("*").alias("m"), F.min("a").alias("a")).filter("m = 1").groupBy("a", "b").agg(F.count("*").alias("own"))
     told = told.drop("extra").join(own, ["a", "b"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     # |x - y| + |y - x| times (100 + level) may be (100 - level) * (nx + ny) at most, and ny is nx * 100 / level at most.
     most = (100 - level) * F.col("na") * (100 + level) / level
-    told = told.withColumn("need", F.col("l") + F.col("own") - most / (100 + level)).withColumn("spare", F.col("l") - F.col("own"))
+    told = materialize(told.withColumn("need", F.col("l") + F.col("own") - most / (100 + level)).withColumn("spare", F.col("l") - F.col("own")))
     bound = told.groupBy("b").agg(F.max("spare").alias("most_spare"), F.min("need").alias("least_need"), F.max(F.when(F.col("out"), F.col("spare"))).alias("out_spare"), F.min(F.when(F.col("out"), F.col("need"))).alias("out_need"))
+    bound = materialize(bound)
     # A class that is out may meet any other; one that isn't meets only those that are.
     told = materialize(told.join(bound, "b").filter("if(out, need <= most_spare and spare >= least_need, need <= out_spare and spare >= out_need)").select("a", "b", "na", "l", "own", "c", "out"))
     x, y = told.filter("out").alias("x"), told.alias("y")
@@ -172,8 +189,11 @@ def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int =
     more = materialize(more)
     if not more.isEmpty():
         label = components(links.union(more))
-    found = classes.select(*key, "id").join(label, "id", "left").select(*key, F.coalesce("component", "id").alias("_c"))
-    out = sketch.drop("buckets").join(found, key, "left")
+    named = classes.select(*key, "id", "doc_id").join(label, "id", "left").select(*key, "doc_id", F.coalesce("component", "id").alias("_c"))
+    if apart:  # a label may be an id by hash: the component's least doc_id is its name
+        least = materialize(named.groupBy("_c").agg(F.min("doc_id").alias("_least")))
+        named = named.join(least, "_c").select(*key, F.col("_least").alias("_c"))
+    out = sketch.drop("buckets", "th").join(materialize(named.select(*key, "_c")), key, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
