@@ -1,19 +1,23 @@
 """Personal data: four fixed formats, and boosted trees over further candidates, in DataFrame expressions only.
 
-Generators of high recall propose spans, which may overlap; each gets format features (length, digits, letters,
-groups, checksum) and context features (a keyword or quote before it); small boosted trees, trained here on a bounded
-synthetic sample (`SAMPLE` candidates of each kind), score them; a threshold for each kind, calibrated on another
-sample to the wanted precision, selects. Spans of the four fixed formats always stay, and may overlap each other; the
-other generators read the text between them.
+Generators of high recall propose spans in the whole text, which may overlap each other and the fixed formats; each
+gets format features (length, digits, letters, groups, separators, alternations, checksum) and context features (a word
+for or against it before it, a quote); small boosted trees, trained here on a bounded synthetic sample (`SAMPLE`
+candidates of each kind, look-alikes and ambiguous contexts included), score them; a threshold for each kind, the least
+that has the wanted precision on a second sample, selects. Spans of the four fixed formats always stay; a selected
+span inside one of them adds nothing and is left out. Selected spans may overlap; a redaction covers their union.
 
 Positions are code points, end exclusive. The regular expressions are those of the formats with possessive loops and
 a guard against starting inside a run, so that they stay linear and need no deep stack on very long texts. Null text
-counts as empty: no spans. Repeated rows get equal spans; an empty table gives no rows.
+counts as empty: no spans. Repeated rows get equal spans; spans of equal places are in the order of KINDS; an empty
+table gives no rows. Carried columns must not be named `base`, `spans`, `_texted` or `_` and a kind; `common.carry`
+packs any columns under one name.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import string
 from functools import lru_cache
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, table
 
 #: The kinds in order of output; the first four are the fixed formats.
-KINDS = ("email", "ip", "card", "phone", "secret", "number")
+KINDS = ("email", "ip", "card", "phone", "secret", "number", "iban")
 _LOCAL = r"A-Za-z0-9._%+-"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BASE = {
@@ -33,14 +37,23 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_KEYWORD = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)"
+#: Words before a candidate that speak for it, and against it.
+FOR = {"secret": "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth", "number": "tel|phone|call|fax|mobile|cell|contact|ssn", "iban": "iban|account|bank|konto|compte|cuenta|transfer"}
+AGAINST = {"secret": "commit|sha|md5|hash|checksum|digest|etag|revision|build|/", "number": "isbn|issn|page|version|order|figure|item|invoice|year", "iban": "serial|model|part|article"}
 MORE = {
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])(?=[0-9_+/=-]{0,64}[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
     "number": r"(?<![0-9A-Za-z_+/=.-])\(?[0-9](?:[ ().-]{0,2}[0-9]){8,18}+(?![0-9A-Za-z_+/=-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
 }
-SAMPLE, TREES, DEPTH, RATE, PRECISION = 1500, 24, 3, 0.3, 0.995
+#: What a candidate must have at all: a secret letters and digits, an IBAN its check digits.
+PROPOSED = {
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
+    "number": lambda m: F.lit(True),
+    "iban": lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34),
+}
+SAMPLE, TREES, DEPTH, RATE, PRECISION = 1500, 24, 3, 0.3, 0.98
 CONTEXT, BLOCK = 24, 64
-FEATURES = ("length", "digits", "upper", "lower", "hex", "groups", "keyword", "quote")
+FEATURES = ("length", "digits", "upper", "lower", "hex", "groups", "keyword", "quote", "separators", "runs", "checksum", "noted")
 
 
 def _digits(m: Column) -> Column:
@@ -94,36 +107,57 @@ FITS = {
 # --- boosted trees --------------------------------------------------------------------------------------------------
 
 
-def features(m: str, before: str) -> list[float]:
+def features(m: str, before: str, kind: str) -> list[float]:
     """What `scored` computes in Spark, for training."""
-    import re
+    count = lambda p: len(re.findall(p, m))
+    told = lambda p: float(bool(re.search(p, before.lower())))
+    checked = float(kind == "iban" and remainder(m) == 1)
+    return [len(m), count("[0-9]"), count("[A-Z]"), count("[a-z]"), float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", m))), count("[0-9]+"), told(FOR[kind]), float(before[-1:] in ("'", '"')), count("[^A-Za-z0-9]"), count("[A-Za-z][0-9]|[0-9][A-Za-z]"), checked, told(AGAINST[kind])]
+
 
-    digits = sum(c in string.digits for c in m)
-    return [len(m), digits, sum(c in string.ascii_uppercase for c in m), sum(c in string.ascii_lowercase for c in m), float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", m))), len(re.findall("[0-9]+", m)), float(bool(re.search(_KEYWORD, before.lower()))), float(before[-1:] in ("'", '"'))]
+def remainder(m: str) -> int:
+    """An IBAN modulo 97, its first four characters last, letters as 10 to 35: 1 for a right one."""
+    plain = m.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
 
 
 def _examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Synthetic candidates: half personal, half look-alikes."""
+    """Synthetic candidates: half personal, half look-alikes; some contexts are ambiguous on either side."""
     r = random.Random(f"{kind}/{seed}")
     pick = lambda a, k: "".join(r.choice(a) for _ in range(k))
+    low, mixed, digits = string.ascii_lowercase, string.ascii_letters + string.digits, string.digits
+    word = lambda: pick(low, r.randint(2, 9))
+    hexes = lambda: pick("0123456789abcdef", r.choice([32, 40, 64]))
     rows, labels = [], []
     for k in range(n):
         good = k % 2 == 0
         if kind == "secret" and good:
-            m = r.choice([lambda: pick("0123456789abcdef", r.choice([32, 40, 64])), lambda: pick(string.ascii_letters + string.digits, r.randint(20, 48)), lambda: r.choice(["sk_", "pk-", "ghp_"]) + pick(string.ascii_letters + string.digits, r.randint(20, 36))])()
-            before = r.choice(['token = "', "secret: ", "password='", "api_key=", 'auth: "', "the value ", " "])
+            m = r.choice([hexes, lambda: pick(mixed, r.randint(20, 48)), lambda: r.choice(["sk_", "pk-", "ghp_", "xoxb-"]) + pick(mixed, r.randint(20, 90)), lambda: pick(mixed + "+/", r.randint(24, 60)) + "=", lambda: r.choice(["", "ghp_", "key-"]) + pick(digits * 4 + low, r.randint(18, 40))])()
+            before = r.choice(['token = "', "secret: ", "password='", "api_key=", 'auth: "', "the value ", " ", "key "])
         elif kind == "secret":
-            word = lambda: pick(string.ascii_lowercase, r.randint(2, 9))
-            m = r.choice([lambda: "-".join(word() for _ in range(r.randint(3, 6))) + f"-{r.randint(1, 2030)}", lambda: "_".join(word() for _ in range(3)) + str(r.randint(0, 99)), lambda: pick(string.ascii_lowercase, r.randint(16, 30)) + str(r.randint(0, 9)), lambda: "=" * r.randint(8, 30) + str(r.randint(0, 9)) + "=" * 8, lambda: pick(string.digits, r.randint(16, 24)), lambda: f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}-00-00"])()
-            before = r.choice(["the page ", "see ", "/", " ", "id ", "\n"])
-        elif good:
-            a, b, c = pick("23456789", 1) + pick(string.digits, 2), pick(string.digits, 3), pick(string.digits, 4)
-            m = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}-{b[:2]}-{c}", f"{c} {a}{b[0]} {c} {pick(string.digits, 4)}"])
-            before = r.choice(["call ", "tel. ", "phone: ", " ", "ssn ", "on "])
+            m, before = r.choice([
+                lambda: ("-".join(word() for _ in range(r.randint(3, 6))) + f"-{r.randint(1, 2030)}", "the page "), lambda: ("_".join(word() for _ in range(3)) + str(r.randint(0, 99)), "see "),
+                lambda: (pick(low, r.randint(16, 30)) + str(r.randint(0, 9)), " "), lambda: ("=" * r.randint(8, 30) + str(r.randint(0, 9)) + "a=" * 4, "\n"), lambda: (f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}-00-00", "on "),
+                lambda: (hexes(), r.choice(["commit ", "sha1 ", "md5: ", "checksum ", "etag "])), lambda: ("/".join(word().title() for _ in range(4)) + str(r.randint(1, 9)), "file "), lambda: (word() + "".join(word().title() for _ in range(3)) + str(r.randint(1, 9)), "call "), lambda: (f"IMG_20{r.randint(10, 24)}0{r.randint(1, 9)}{r.randint(10, 28)}_{pick(digits, 6)}", "image "),
+                lambda: (r.choice([hexes(), pick(mixed, r.randint(16, 40))]), r.choice([" ", "id ", "the value ", '"'])),
+            ])()
+        elif kind == "number" and good:
+            a, b, c = pick("23456789", 1) + pick(digits, 2), pick(digits, 3), pick(digits, 4)
+            m = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}-{b[:2]}-{c}", f"{c} {a}{b[0]} {c} {pick(digits, 4)}"])
+            before = r.choice(["call ", "tel. ", "phone: ", " ", "ssn ", "on ", "order "])
+        elif kind == "number":
+            m, before = r.choice([
+                lambda: (pick(digits, r.randint(9, 19)), r.choice([" ", "= ", "id "])), lambda: (f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}", r.choice(["on ", "\n"])), lambda: (" ".join(pick(digits, r.randint(1, 2)) for _ in range(r.randint(6, 9))), "pages "),
+                lambda: (".".join(pick(digits, r.randint(1, 3)) for _ in range(r.randint(5, 8))), "v"), lambda: (f"{r.randint(1900, 2029)}-{r.randint(1900, 2029)} {r.randint(1, 9)}.{r.randint(0, 9)}", "in "), lambda: (f"978-{r.randint(0, 9)}-{pick(digits, 2)}-{pick(digits, 6)}-{r.randint(0, 9)}", r.choice(["isbn ", " "])), lambda: (f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}", "invoice "),
+            ])()
         else:
-            m = r.choice([lambda: pick(string.digits, r.randint(9, 19)), lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}", lambda: " ".join(pick(string.digits, r.randint(1, 2)) for _ in range(r.randint(6, 9))), lambda: ".".join(pick(string.digits, r.randint(1, 3)) for _ in range(r.randint(5, 8))), lambda: f"{r.randint(1900, 2029)}-{r.randint(1900, 2029)} {r.randint(1, 9)}.{r.randint(0, 9)}"])()
-            before = r.choice(["in ", " ", "pages ", "= ", "v", "\n"])
-        rows.append(features(m, before))
+            country = r.choice(["DE", "FR", "GB", "ES", "NL", "CH"])
+            body = ("" if r.random() < 0.6 else pick(string.ascii_uppercase, 4)) + pick(digits, r.randint(11, 20))
+            right = f"{98 - remainder(country + '00' + body):02d}"
+            m = country + (right if good else pick(digits, 2)) + body
+            m = " ".join(m[i : i + 4] for i in range(0, len(m), 4)) if r.random() < 0.5 else m
+            before = r.choice(["iban ", "account: ", " ", "to "] if good else ["serial ", "model ", " ", "part ", "account "])
+        rows.append(features(m, before, kind))
         labels.append(float(good))
     return np.array(rows), np.array(labels)
 
@@ -155,7 +189,7 @@ def evaluate(tree, row) -> float:
 
 @lru_cache
 def model(kind: str):
-    """(trees, threshold) of a kind: boosted on one sample; the threshold is the least, from even odds on, of the wanted precision on another."""
+    """(trees, threshold) of a kind: boosted on one sample; the threshold is the least of the wanted precision on another."""
     x, y = _examples(kind, SAMPLE, 1)
     score, trees = np.zeros(len(y)), []
     for _ in range(TREES):
@@ -164,10 +198,17 @@ def model(kind: str):
         score += RATE * np.array([evaluate(trees[-1], row) for row in x])
     x, y = _examples(kind, SAMPLE, 2)
     score = np.array([RATE * sum(evaluate(t, row) for t in trees) for row in x])
-    order = np.argsort(-score)
-    precision = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(precision >= PRECISION)
-    return trees, max(0.0, float(score[order[good[-1]]])) if len(good) else float("inf")
+    return trees, calibrated(score, y)
+
+
+def calibrated(score: np.ndarray, y: np.ndarray) -> float:
+    """The least score from which on the share of personal candidates is PRECISION; equal scores stand or fall together."""
+    levels = np.unique(score)[::-1]
+    fine = [t for t in levels if y[score >= t].mean() >= PRECISION]
+    if not fine:
+        return float("inf")
+    below = levels[levels < fine[-1]]
+    return float((fine[-1] + below[0]) / 2) if len(below) else float(fine[-1])
 
 
 def _case(tree, x: dict[int, Column]) -> Column:
@@ -178,7 +219,13 @@ def _case(tree, x: dict[int, Column]) -> Column:
 
 def scored(m: Column, before: Column, kind: str) -> Column:
     count = lambda c: F.length(F.regexp_replace(m, f"[^{c}]", "")).cast("double")
-    values = [F.length(m).cast("double"), count("0-9"), count("A-Z"), count("a-z"), m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"), F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))).cast("double"), F.lower(before).rlike(_KEYWORD).cast("double"), before.rlike("['\"]$").cast("double")]
+    many = lambda p: F.size(F.regexp_extract_all(m, F.lit(p), F.lit(0))).cast("double")
+    told = lambda p: F.lower(before).rlike(p).cast("double")
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    letter = lambda x: F.ascii(x) >= 65
+    rest = F.aggregate(F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), ""), F.lit(0), lambda n, x: F.when(x == "", n).otherwise((n * F.when(letter(x), 100).otherwise(10) + F.when(letter(x), F.ascii(x) - 55).otherwise(F.ascii(x) - 48)) % 97))
+    checked = (rest == 1).cast("double") if kind == "iban" else F.lit(0.0)
+    values = [F.length(m).cast("double"), count("0-9"), count("A-Z"), count("a-z"), m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"), many("[0-9]+"), told(FOR[kind]), before.rlike("['\"]$").cast("double"), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")).cast("double"), many("[A-Za-z][0-9]|[0-9][A-Za-z]"), checked, told(AGAINST[kind])]
     trees = model(kind)[0]
     return _let(F.array(*values), lambda v: RATE * sum((_case(t, {i: F.element_at(v, i + 1) for i in range(len(values))}) for t in trees), F.lit(0.0)))
 
@@ -193,17 +240,16 @@ def detect(docs: DataFrame, *carried: str) -> DataFrame:
     def short(k, spans):
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("k"), x["end"].alias("end")))
 
-    df = df.withColumn("base", F.array_sort(F.concat(*[short(k, F.col(f"_{k}")) for k in BASE])))
-    # Where the fixed formats are, nothing else is proposed; the two generators can't overlap each other.
-    df = df.withColumn("_masked", replaced(text, F.col("base"), lambda s, at: F.repeat(F.lit("\x01"), s["end"] - F.greatest(s["start"], at))))
-    df = df.select("doc_id", "text", *carried, "base", "_masked", *[found(F.col("_masked"), MORE[k], lambda m: F.lit(True)).alias(f"_{k}") for k in MORE])
+    df = df.withColumn("base", F.array_sort(F.concat(*[short(k, F.col(f"_{k}")) for k in BASE]))).withColumn("_texted", text)
+    df = df.select("doc_id", "text", *carried, "base", "_texted", *[found(F.col("_texted"), MORE[k], PROPOSED[k]).alias(f"_{k}") for k in MORE])
 
     def chosen(k):
         def before(x):
-            return F.substring("_masked", F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
+            return F.substring("_texted", F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
 
         fine = F.filter(f"_{k}", lambda x: _let(before(x), lambda b: scored(x["m"], b, k)) >= model(k)[1])
-        return short(k, F.when(F.size(f"_{k}") > 0, fine).otherwise(F.expr(_NONE)))
+        new = F.filter(fine, lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+        return short(k, F.when(F.size(f"_{k}") > 0, new).otherwise(F.expr(_NONE)))
 
     return df.select("doc_id", "text", *carried, "base", F.array_sort(F.concat("base", *[chosen(k) for k in MORE])).alias("spans"))
 
@@ -234,5 +280,5 @@ def _told(spans: str) -> Column:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detect(table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return d.select("doc_id", *[count(k) for k in BASE], F.sha2(_told("base"), 256).alias("base_sha256"), _told("spans").alias("spans"))
+    count = lambda k, spans: F.size(F.filter(spans, lambda s: s["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return d.select("doc_id", *[count(k, "base") for k in BASE], F.sha2(_told("base"), 256).alias("base_sha256"), _told("spans").alias("spans"), *[count(k, "spans") for k in MORE], F.size("spans").cast("long").alias("n_spans"))
