@@ -1,15 +1,20 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-Vectors are integers floor(scale * x). A block of vectors is quantised to 2**BITS equal cells a dimension; a scan of
-the cells bounds each inner product from above and below (cell middle, plus or minus the query's half-widths); exact
-vectors are then read in order of their bounds until no unread bound reaches the kth score, ties included.
-
-Queries and vectors are dealt by hash into blocks of bounded size, and every query block meets every vector block
-once. Each pair gives its own k best for each query; the k best of those are the answer.
-
-Vectors that are null, empty, or hold null or non-finite components, and rows with null ids, take no part. Only
-vectors of a query's own dimension are compared with it. Repeated vec_ids are each a candidate, but a query never meets
-rows of its own id. Ties go to the smaller vec_id. An empty table gives no rows.
+Vectors are integers floor(scale * x). The approximation file holds each distinct vector as one cell of 2**BITS a
+dimension, a byte each, over the range that the dimension has in the whole table. A scan of the cells in blocks bounds
+each inner product from both sides (cell middle, plus or minus the query's half-widths); a block reports what may be
+among its best by these bounds, and what the bounds of all blocks rule out is dropped. Exact vectors are then read in
+order of their bounds: first those of the best upper bounds, and then whatever the kth exact score doesn't rule out.
+
+The queries' exact vectors and the cells are dealt by hash into blocks of bounded size, and every query block meets
+every block of cells once: a stated query set against all rows. Exact vectors stay where they are until they are read.
+Equal vectors are one candidate with their k + 1 least ids, so a vector that is most of the table is scored once.
+
+Vectors that are null, empty, or hold null or non-finite components, and rows with null ids, take no part; nor do
+vectors of d components of which one is over 2**31 / sqrt(d) as an integer, as a long might not hold their scores. Only vectors of a
+query's own dimension are compared with it. A candidate is a row: a query meets every row but itself, so of rows that
+repeat an id and its vector each is a query and finds the others. Ties go to the smaller vec_id. An empty table gives no
+rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,70 +24,113 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-BITS, QUERY_BLOCK, VECTOR_BLOCK, FIRST_READS = 6, 1024, 8192, 32
+BITS, QUERY_BLOCK, VECTOR_BLOCK = 6, 1024, 8192
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)
-    finite = F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < float("inf")) & ~F.isnan(v))
+    finite = F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double") * scale) < 2.0**31 / F.sqrt(F.size(x))) & ~F.isnan(v))
     return vectors.filter(fine & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
 
 
-def search(ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vec_id, score) of each query's k best rows of one block."""
-    low, high = v.min(axis=0), v.max(axis=0)
-    width = np.maximum((high - low) / 2.0**BITS, 1e-9)
-    cells = np.minimum((v - low) / width, 2**BITS - 1).astype(np.uint8)
-    half = width / 2
-    middle = cells * width + (low + half)
-    out = []
-    exact_floats = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * v.shape[1] < 2.0**52
+def approximations(classes: DataFrame) -> DataFrame:
+    """The file: id, d (the dimension) and cells of distinct vectors (id, v), with the ranges that their cells divide."""
+    each = classes.select(F.size("v").alias("d"), F.posexplode("v").alias("k", "x")).groupBy("d", "k").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    ranges = each.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("r")).select("d", F.col("r.low").alias("low"), F.col("r.high").alias("high"))
+
+    def run(batches):
+        for b in batches:
+            cells = []
+            for v, low, high in zip(b["v"], b["low"], b["high"], strict=True):
+                lo, width = _cells_of(low, high)
+                cells.append(np.minimum((np.asarray(v, np.float64) - lo) / width, 2**BITS - 1).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"id": b["id"], "d": b["d"], "low": b["low"], "high": b["high"], "cells": cells})
+
+    # A row for each dimension there is: small by nature.
+    return classes.withColumn("d", F.size("v")).join(ranges, "d").mapInPandas(run, "id long, d int, low array<long>, high array<long>, cells binary")
+
+
+def _cells_of(low, high) -> tuple[np.ndarray, np.ndarray]:
+    lo = np.asarray(low, np.float64)
+    return lo, np.maximum((np.asarray(high, np.float64) - lo) / 2.0**BITS, 1e-9)
+
+
+def bounds(q: np.ndarray, cells: np.ndarray, lo: np.ndarray, width: np.ndarray, k: int):
+    """(query, vector, upper bound) of each query's vectors that may be among its k best here, by their bounds."""
+    middle = (cells + 0.5) * width + lo
+    # A middle may be off by rounding, and an integer at the top of its range lies on the last cell's edge.
+    half = width / 2 + np.abs(middle).max(axis=0, initial=0) * 1e-12
     for at in range(0, len(q), 128):
-        near = q[at : at + 128] @ middle.T if len(q) else np.empty((0, len(v)))
-        slack = np.abs(q[at : at + 128]) @ half
-        for j, (row, r) in enumerate(zip(near, slack, strict=True)):
-            qid = q_ids[at + j]
-            upper = row + (r + 1e-6 * (1 + np.abs(row).max()))
-            upper[ids == qid] = -np.inf
-            m = min(len(v), FIRST_READS)
-            while True:
-                take = np.argpartition(-upper, m - 1)[:m] if m < len(v) else np.arange(len(v))
-                take = take[np.isfinite(upper[take])]
-                read = v[take] if exact_floats else v[take].astype(object)
-                score = read @ (q[at + j] if exact_floats else q[at + j].astype(object))
-                best = np.lexsort((ids[take], -score))[:k]
-                if m == len(v):
-                    break
-                next_bound = upper[np.argpartition(-upper, m)[m]]
-                if len(best) == k and score[best[-1]] > next_bound:
-                    break
-                m = min(len(v), 4 * m)
-            out += [(int(qid), int(ids[take[b]]), int(score[b])) for b in best]
-    return out
+        part = q[at : at + 128].astype(np.float64)
+        near, slack = part @ middle.T, np.abs(part) @ half
+        slack += 1e-9 * (np.abs(part) @ np.abs(middle).max(axis=0, initial=0) + 1)
+        least = np.partition(near, -k, axis=1)[:, -k] if len(cells) > k else np.full(len(part), -np.inf)
+        i, j = np.nonzero(near + 2 * slack[:, None] >= least[:, None])
+        yield at + i, j, near[i, j] + slack[i], near[i, j] - slack[i]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score for integer vectors (vec_id, v)."""
-    n, m = vectors.count(), queries.count()
+def candidates(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """q, id, upper, lower: pairs of a query (id, v) and an approximation that the bounds of its block don't rule out."""
+    n, m = file.count(), queries.count()
     vb, qb = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    left = queries.select("vec_id", "v", (F.xxhash64("vec_id") % qb + qb).__mod__(qb).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"))
-    right = vectors.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), (F.xxhash64("vec_id") % vb + vb).__mod__(vb).cast("int").alias("vb"))
+    left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"))
+    right = file.select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(vb)).cast("int").alias("vb"))
 
     def meet(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        dims_q, dims_v = q["v"].map(len), v["v"].map(len)
-        for d in dims_q.unique():
-            a, b = q[dims_q == d], v[dims_v == d]
-            if len(b):
-                rows += search(b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.int64), a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()).astype(np.int64), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = [pd.DataFrame({c: np.empty(0, t) for c, t in (("q", np.int64), ("id", np.int64), ("upper", np.float64), ("lower", np.float64))})]
+        dims = q["v"].map(len)
+        for d, some in v.groupby("d"):
+            asked = q[dims == d]
+            if len(asked):
+                lo, width = _cells_of(some["low"].iloc[0], some["high"].iloc[0])
+                cells = np.frombuffer(b"".join(some["cells"]), np.uint8).reshape(len(some), d)
+                for i, j, upper, lower in bounds(np.stack(asked["v"].to_numpy()), cells, lo, width, k):
+                    out.append(pd.DataFrame({"q": asked["id"].to_numpy()[i], "id": some["id"].to_numpy()[j], "upper": upper, "lower": lower}))
+        return pd.concat(out)
+
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, "q long, id long, upper double, lower double")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score for integer vectors (vec_id, v); queries are rows of vectors."""
+    # Equal vectors are one class, named by its least id: of its rows only the k + 1 least ids can be an answer.
+    rows = materialize(vectors.groupBy("v", "vec_id").agg(F.count("*").alias("n")))
+    order = Window.partitionBy("v").orderBy("vec_id")
+    least = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
+    members = materialize(least.groupBy("v").agg(F.min("vec_id").alias("least"), F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("rows")).withColumn("id", F.xxhash64("v", "least")))
+    asked = materialize(queries.groupBy("v", "vec_id").agg(F.count("*").alias("n")))
+    which = materialize(members.select("id", "v").join(asked.select("v").distinct(), "v", "left_semi"))
+    # One more than k, as the query itself may be among its best.
+    found = materialize(candidates(materialize(approximations(members.select("id", "v"))), which, k + 1))
+    best = lambda c: Window.partitionBy("q").orderBy(F.desc(c), "id")
+    floor = found.withColumn("at", F.row_number().over(best("lower"))).filter(F.col("at") == k + 1).select("q", F.col("lower").alias("floor"))
+    open_ = found.join(floor, "q", "left").filter("floor is null or upper >= floor").select("q", "id", "upper")
+    open_ = materialize(open_.withColumn("at", F.row_number().over(best("upper"))))
+
+    def read(pairs):
+        """Exact scores of pairs, in whole numbers."""
+        exact = members.select("id", "v", "rows")
+        both = pairs.join(exact, "id").join(which.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
+        product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+        return both.select("q", "rows", product.alias("score"))
+
+    first = materialize(read(open_.filter(F.col("at") <= 2 * (k + 1))))
+    kth = first.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("at") == k + 1).select("q", F.col("score").alias("kth"))
+    rest = open_.filter(F.col("at") > 2 * (k + 1)).join(kth, "q").filter("upper >= kth").select("q", "id")
+    scores = first.union(read(rest))
+    # Each row of a class, as often as it is there, for each row of the query's class; the query's own row once less.
+    told = scores.select("q", "score", F.explode("rows").alias("r")).select("q", "score", "r.vec_id", "r.n")
+    told = told.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("at") <= k + 1)
+    lists = told.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score", "n"))).alias("best"))
+    who = asked.join(which, "v").select(F.col("id").alias("q"), F.col("vec_id").alias("query_id"), F.col("n").alias("copies"))
+    own = lambda x: F.when(x["vec_id"] == F.col("query_id"), x["n"] - 1).otherwise(x["n"])
+    each = F.flatten(F.transform("best", lambda x: F.array_repeat(F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score")), F.least(own(x), F.lit(k)).cast("int"))))
+    out = who.join(lists, "q").select("query_id", "copies", F.slice(each, 1, k).alias("best"))
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", F.posexplode("best").alias("at", "b"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 
 def op6_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
