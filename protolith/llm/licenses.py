@@ -2,12 +2,13 @@
 
 Known licence sentences are found anywhere in a text, the longest first, and mapped to their identifiers. Runs of other
 than a-z and 0-9 count as one space, so sentences wrapped over lines, behind comment marks or inside longer sentences
-are found too; the SQL knows them only as whole lines or sentences, as the test tables have them. The identifiers, in order, are matched against ordered rules: each rule is a sequence of identifiers that follow each other
-with nothing known between them; what a rule matches is taken out before later rules are tried, so the more specific
-licence wins, and a rule counts once for each match.
+are found too; the SQL knows them only as whole lines or sentences, as the test tables have them. The identifiers, in
+order, are matched against ordered rules: each rule is a sequence of identifiers that follow each other with nothing
+known between them; what a rule matches is taken out before later rules are tried, so the more specific licence wins,
+and a rule counts once for each match.
 
-Null and empty texts have no sentences. Repeated rows get equal results; an empty table gives no rows. Every known
-sentence has one of `TRIGGERS`, so texts without them are settled by one scan.
+Null and empty texts have no sentences. Repeated rows get equal results; other columns play no part; an empty table gives
+no rows. Every known sentence has a word with one of `TRIGGERS` in it, so a text without any has none: one scan settles it.
 """
 
 from __future__ import annotations
@@ -52,7 +53,30 @@ SENTENCES = {
     "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-only-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "zlib-free": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "epl-made": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "public-domain": "this work is in the public domain",
+    "wtfpl": "you just do what the fuck you want to",
+    "spdx": "spdx license identifier",
 }
+#: Names of licences in notices, and their identifiers.
+NAMED = {
+    "apache license 2 0": "Apache-2.0", "apache 2 0 license": "Apache-2.0", "bsd 2 clause license": "BSD-2-Clause", "bsd 3 clause license": "BSD-3-Clause", "isc license": "ISC", "zlib license": "Zlib",
+    "boost software license version 1 0": "BSL-1.0", "eclipse public license 2 0": "EPL-2.0", "mozilla public license 2 0": "MPL-2.0", "gnu general public license version 2": "GPL-2.0-only",
+    "gnu general public license v3": "GPL-3.0-only", "gnu lesser general public license version 2 1": "LGPL-2.1-only", "gnu lesser general public license version 3": "LGPL-3.0-only", "gnu affero general public license version 3": "AGPL-3.0-only",
+    "cc by nc sa 4 0": "CC-BY-NC-SA-4.0", "cc by nc nd 4 0": "CC-BY-NC-ND-4.0", "cc by 3 0": "CC-BY-3.0", "cc by sa 3 0": "CC-BY-SA-3.0", "sil open font license version 1 1": "OFL-1.1", "artistic license 2 0": "Artistic-2.0",
+}
+#: How a notice says it: every way with every name is a known sentence.
+WAYS = ("licensed under", "released under", "distributed under", "licensed under the", "released under the", "distributed under the", "under the terms of the")
+SENTENCES |= {f"{way.replace(' ', '-')}-{name.replace(' ', '-')}": f"{way} {name}" for name in NAMED for way in WAYS if name.startswith("cc") == (not way.endswith("the"))}
 #: Licence, and the sentences that name it; the first rules are tried first.
 RULES = (
     ("Apache-2.0", ("apache-the", "apache-use", "apache-copy", "apache-as-is", "apache-see")),
@@ -80,8 +104,19 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-long",)),
     ("CC0-1.0", ("cc0",)),
     ("Unlicense", ("unlicense",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("GPL-2.0-only", ("gpl2-only-free",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("Zlib", ("zlib-free", "zlib-origin")),
+    ("Zlib", ("zlib-free",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("EPL-2.0", ("epl-made",)),
+    ("WTFPL", ("wtfpl",)),
+    ("Public-Domain", ("public-domain",)),
+    *((licence, (f"{way.replace(' ', '-')}-{name.replace(' ', '-')}",)) for name, licence in NAMED.items() for way in WAYS if name.startswith("cc") == (not way.endswith("the"))),
 )
-TRIGGERS = "(?i)licen[sc]|redistribut|permission|copy(?:right)? |endorse|warrant|software|public domain|waived"
+#: Each known sentence has one of these inside a word, with nothing between its letters: no text with one is passed over.
+TRIGGERS = "(?i)licen[sc]|redistribut|permission|copy|endorse|warrant|software|domain|waived|under|provided|fuck"
 
 
 #: Known sentences in a text, the longest first: their words with anything but letters and digits of ASCII between them.
