@@ -276,7 +276,11 @@ def vocabulary() -> str:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text, ids and decoded (the text that the ids give back)."""
+    """doc_id, text, ids, n_bytes_ids (how many of them spell bytes) and decoded (the text that the ids give back).
+
+    A null text counts as empty: no ids, and an empty text back. Repeated rows get equal ids, other columns play no part,
+    an empty table gives no rows; of segmentations of equal score the one whose last piece starts first is taken.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("n_bytes_ids", pa.int64()), ("decoded", pa.string())])
 
     def run(batches):
@@ -295,4 +299,4 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = encoded(table(spark, sf_dir, "documents"))
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_bytes_ids", F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_bytes_ids", F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
