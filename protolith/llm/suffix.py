@@ -7,7 +7,8 @@ on the bucket identifiers of later offsets (32, 64, then 128 and 72 bytes on), e
 the depth before. Three things make it a distributed job:
 
 * Identifiers are 64-bit names that depend on the bytes alone, not ranks, so all tasks agree on them without a global
-  sort; equal strings are told by 128 bits. Only equality at depth LENGTH is asked for, so no order is lost.
+  sort; equal strings are told by 128 bits: those of the bucket and those of the context, block or string within it.
+  Only equality at depth LENGTH is asked for, so no order is lost.
 * Of a string's Q-grams only one, the anchor of least name, is put into a first bucket. Equal strings have equal
   anchors at equal offsets, so first buckets of one anchor clear all strings around it: about one suffix in 80 is dealt.
 * Around an anchor, the bytes of all its strings are its context. Contexts that occur twice or more are repeated as a
@@ -17,8 +18,9 @@ the depth before. Three things make it a distributed job:
   twice are repeated as a whole, and the others are refined in a task, or, where that bucket is still larger, string by
   string through counts that are summed before they are dealt. No text of a hot bucket is gathered; nothing is capped.
 
-Null text counts as empty. Rows of one doc_id are told apart by their text; equal rows repeat each other. A null
-doc_id is kept. An empty table gives no rows. Long texts go through the kernels SEGMENT starts at a time.
+Null text counts as empty. Rows of one doc_id are told apart by 64 bits of their text; equal rows repeat each other. A
+null doc_id is kept. An empty table gives no rows. Long texts go through the kernels SEGMENT starts at a time. Carried
+columns must not be named like the operator's own; `common.carry` packs any columns under one name.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, groups_of, materialize, table
+from .common import documents, forget, groups_of, materialize, table
 from .hashing import mix
 
 #: Length of the strings compared, and the q of the first buckets.
@@ -134,7 +136,7 @@ def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int64()), ("key", pa.int64()), ("ctx", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("ctx", pa.int64())])
     for b in batches:
         for i in range(0, b.num_rows, 1024):
             part = b.slice(i, 1024)
@@ -153,7 +155,7 @@ def _anchors(batches):
 
 def _contexts(batches):
     """Bytes of the contexts that a document's places name."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
     for b in batches:
         rows = []
         for doc, th, text, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -188,7 +190,7 @@ def refine(contexts: list[bytes]) -> list[np.ndarray]:
     return [start[live[a:b]] - base[k] for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
 
 
-_RANGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
+_RANGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
 def _refined(batches):
@@ -210,7 +212,7 @@ def _refined(batches):
 
 def _blocks(batches):
     """Blocks of the strings of the contexts that a document's places name: (core's bucket, block's name)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int64()), ("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())])
     for b in _contexts(batches):
         for i in range(0, b.num_rows, 1024):
             part = b.slice(i, 1024)
@@ -240,7 +242,7 @@ def _blocks(batches):
 
 def _strings(batches):
     """The two identifiers of every string of the contexts that a document's places name."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64())])
     for b in _contexts(batches):
         for i in range(0, b.num_rows, 1024):
             part = b.slice(i, 1024)
@@ -275,29 +277,32 @@ def _removed(batches):
 
 def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal, in bytes), kept (the remaining bytes) and other columns of every document."""
-    none = -(1 << 63)
-    rows = documents(docs, *carried).select(F.coalesce("doc_id", F.lit(none)).alias("doc_id"), F.hash("text").alias("th"), "text", *carried)
+    # A row is told by (doc_id, th); th also tells a null doc_id from 0.
+    th = F.xxhash64(F.col("doc_id").isNull(), "text").alias("th")
+    rows = documents(docs, *carried).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), th, "text", F.col("doc_id").alias("_doc"), *carried)
     base = rows.select("doc_id", "th", "text")
     whose = ["doc_id", "th"]
-    dealt = base.mapInArrow(_anchors, "doc_id long, th int, at long, key long, ctx long")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    dealt = materialize(base.mapInArrow(_anchors, "doc_id long, th long, at long, key long, ctx long"))
+    # Written, so that the join's sides are plain shuffles, of which Spark splits a hot bucket's.
+    shared = materialize(dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"))
     suffixes = materialize(dealt.join(shared, "key"))
+    forget(dealt, shared)
     contexts = materialize(suffixes.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("p")))
-    several = contexts.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    several = materialize(contexts.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     unlike = materialize(contexts.join(several, "key").select("key", "n", "m", "p.*"))
     places = lambda df: df.groupBy(*whose).agg(F.collect_list(F.struct("key", "n", "at")).alias("places"))
     text = lambda df: base.join(places(df), whose).select(*whose, "text", "places")
     # Buckets too large for a task: their blocks, by deeper buckets.
-    blocks = materialize(text(unlike.filter(F.col("m") > TASK_CONTEXTS)).mapInArrow(_blocks, "doc_id long, th int, at long, key long, ctx long, n long"))
+    blocks = materialize(text(unlike.filter(F.col("m") > TASK_CONTEXTS)).mapInArrow(_blocks, "doc_id long, th long, at long, key long, ctx long, n long"))
     named = materialize(blocks.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", F.col("n").alias("was"))).alias("p")))
-    deeper = named.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    deeper = materialize(named.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     # Those of contexts that are repeated anyway only take part.
     straddling = materialize(named.join(deeper, "key").select("key", F.greatest("n", "p.was").alias("n"), "m", "p.doc_id", "p.th", "p.at"))
     small = F.col("m") <= TASK_CONTEXTS
-    parts = text(unlike.filter(small).union(straddling.filter(small))).mapInArrow(_contexts, "key long, n long, doc_id long, th int, at long, bytes binary")
+    parts = text(unlike.filter(small).union(straddling.filter(small))).mapInArrow(_contexts, "key long, n long, doc_id long, th long, at long, bytes binary")
     whole_buckets = parts.groupBy("key").agg(F.collect_list(F.struct("n", *whose, "at", "bytes")).alias("c")).select("c")
-    cold = whole_buckets.mapInArrow(_refined, "doc_id long, th int, start long, stop long")
-    strings = text(straddling.filter(~small)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th int, start long")
+    cold = whole_buckets.mapInArrow(_refined, "doc_id long, th long, start long, stop long")
+    strings = text(straddling.filter(~small)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th long, start long")
     twice = strings.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b")
     hot = strings.filter("n = 1").join(twice, ["a", "b"]).select(*whose, "start", (F.col("start") + LENGTH).alias("stop"))
     low = F.shiftright("at", 16)
@@ -308,10 +313,9 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
 
     whole = repeated(suffixes, contexts).union(repeated(blocks.filter("n = 1").drop("n"), named))
     ranges = whole.union(cold).union(hot).groupBy(*whose).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    out = rows.join(ranges, whose, "left").select("doc_id", "text", "ranges", *carried)
+    out = rows.join(ranges, whose, "left").select(F.col("_doc").alias("doc_id"), "text", "ranges", *carried)
     schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
-    out = out.mapInArrow(_removed, T.StructType(schema.fields + [out.schema[c] for c in carried]))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
+    return out.mapInArrow(_removed, T.StructType(schema.fields + [out.schema[c] for c in carried]))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
