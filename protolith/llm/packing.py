@@ -11,8 +11,11 @@ state as one group with a multiplicity: its memory and time don't grow with the
 "pieces of length n with ranks [lo, hi) go c to a bin from sequence s on, at offset o". Ranks come from one range
 shuffle by length, whose sorted parts count themselves, so no length, however frequent, meets in one task.
 
+At the defaults only tokens can bind (at most `capacity` documents and `capacity`**2 cost fit as many tokens), so the
+other two only steer the choice among bins; `most_docs` and `most_cost` make them bind.
+
 Null and empty texts are a piece of one token (END). Repeated rows are packed each for itself; among equal lengths the
-order is by hash of doc_id, then piece. A null doc_id is kept. An empty table gives no rows.
+order is by hash of doc_id, then piece. A null doc_id is kept. An empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers at once.
 CACHE_WORDS, CHUNK_CHARS = 800_000, 1 << 20
+#: Rows of shifts and runs (six numbers at most) that are broadcast; beyond, they are joined by shuffles.
+BROADCAST_ROWS = 500_000
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
@@ -218,7 +223,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     # A length's runs are few and in order of rank: an array that is searched for the rank.
     plans = plans.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "per", "seq", "off"))).alias("_runs"))
     rank = F.col("_at") + F.col("_shift")
-    out = dealt.join(shifts, ["length", "_part"]).join(plans, "length").withColumn("_rank", rank)
+    # At most a row for each length and part, and a plan for each length: both are small unless `capacity` is huge.
+    small = F.broadcast if len(shift) + sum(map(len, runs.values())) <= BROADCAST_ROWS else lambda df: df
+    out = dealt.join(small(shifts), ["length", "_part"]).join(small(plans), "length").withColumn("_rank", rank)
     out = out.withColumn("_run", F.element_at(F.filter("_runs", lambda x: (x["lo"] <= F.col("_rank")) & (F.col("_rank") < x["hi"])), 1))
     at = F.col("_rank") - F.col("_run.lo")
     out = out.withColumn("sequence_id", F.col("_run.seq") + F.expr("(_rank - _run.lo) div _run.per"))
