@@ -2,28 +2,34 @@
 
 Features are relative counts of hashed character trigrams of the lower-cased whole text. A linear SVM (squared hinge,
 dual coordinate descent on the Gram matrix) separates each pair of families, then each pair of a family's languages;
-votes decide, ties by the sum of margins. Training takes at most `per_language` labelled documents of each language
-(those of lowest hash of doc_id), a documented bound; prediction reads every whole text. A language absent from
-`FAMILIES` is a family of its own.
-
-A null text, or one without a letter, is `und` with score 0. The score is the product of the logistic values of the
-mean winning margins, so between 0 and 1. Repeated rows get equal answers. With no labelled document every text with a
-letter is `und` too; with one language, that language.
+votes decide, ties by the sum of margins, then by name. Training takes at most `per_language` labelled documents of each
+language and `total` in all (those of lowest hash of doc_id), a documented bound; their features are counted where the
+texts are, so no text reaches the driver. Prediction reads every whole text. A language absent from `FAMILIES` is a
+family of its own.
+
+A null text, or one without a letter (Unicode category L), is `und` with score 0. The score is the product of the
+logistic values of the mean winning margins, so between 0 and 1. Repeated rows get equal answers; an empty table gives
+no rows; other columns, whatever their names, play no part. With no labelled document every text with a letter is `und`
+too; with one language, that language.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, groups_of, table
 
-DIMENSIONS, PER_LANGUAGE, CHUNK_CHARS = 1 << 13, 500, 1 << 19
+DIMENSIONS, CHUNK_CHARS = 1 << 13, 1 << 19
+#: Bounds of the training sample: documents of one language, and of all; the Gram matrix has TOTAL rows at most.
+PER_LANGUAGE, TOTAL = 500, 4000
+#: A text of a lower score is like no learned language.
+LEAST_SCORE = 0.25
 #: The branch of each language code.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "da", "sv", "no", "nb", "nn", "is", "fy", "lb", "yi"),
@@ -35,7 +41,7 @@ FAMILIES = {
     "semitic": ("ar", "he", "am", "mt"),
 }
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family(lang: str) -> str:
@@ -104,8 +110,12 @@ def svm(gram: np.ndarray, y: np.ndarray, cost: float = 100.0, rounds: int = 30)
 
 
 def train(texts: list[str], langs: list[str]) -> dict:
-    """Weights of all classifiers, a column each, and what a column separates."""
-    x = np.stack([counts(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS), np.float32)
+    return train_on(np.stack([counts(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS), np.float32), langs)
+
+
+def train_on(x: np.ndarray, langs: list[str]) -> dict:
+    """Weights of all classifiers, a column each, and what a column separates; x has a row of counts for each document."""
+    texts = len(x) > 0
     mean = x.mean(axis=0) if texts else 0
     scale = 1 / np.sqrt(np.maximum(x.var(axis=0), 1e-7)) if texts else np.ones(DIMENSIONS, np.float32)
     z = (x - mean) * scale / np.sqrt(DIMENSIONS)
@@ -160,20 +170,33 @@ def predict(model: dict, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """A model from at most so many documents of each language; labelled has doc_id, text and lang."""
+def _counted(batches):
+    schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            part = b.slice(i, 64)
+            found = [counts(t) for t in part.column(1).to_pylist()]
+            at = [np.flatnonzero(c).astype(np.int32) for c in found]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([c[k] for c, k in zip(found, at, strict=True)], pa.list_(pa.float32()))], schema=schema)
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> dict:
+    """A model from at most so many documents of each language and of all; labelled has doc_id, text and lang."""
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = {r["lang"]: 2.0 * per_language / r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
+    many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not many:
         return train([], [])
-    # Twice the bound by hash, so about that many rows reach the driver; the first of them in order of hash are taken.
+    each = max(1, min(per_language, total // len(many)))
+    # Twice the bound by hash is ranked; each task keeps only the first of a language.
     h = F.xxhash64("doc_id")
-    allowed = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    drawn = known.filter((F.abs(h % 1_000_000) < F.element_at(allowed, F.col("lang")) * 1_000_000)).select("lang", "text", h.alias("h"), "doc_id")
-    rows = []
-    for lang in sorted(share):
-        rows += drawn.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(per_language).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    allowed = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, 2.0 * each / n)])
+    drawn = known.filter(F.abs(h % 1_000_000) < F.element_at(allowed, F.col("lang")) * 1_000_000).select("lang", "text", h.alias("h"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    rows = drawn.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "text").mapInArrow(_counted, "lang string, at array<int>, x array<float>").collect()
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, r["at"]] = r["x"]
+    return train_on(x, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -190,18 +213,30 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language."""
-    names = docs.columns
+def accepted(docs: DataFrame, model: dict, languages: list[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is one of `languages` (None: any learned one) with a score of `least` or more.
+
+    All columns stay; a null lang, where there is that column, becomes the language found. Without a model (no labelled
+    row) nothing can be told apart: texts with a letter stay as they are.
+    """
+    names, kinds = docs.columns, docs.schema
+    known = bool(model["names"])
 
     def run(batches):
         at = names.index("text")
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                yield part.filter(pa.array([x[0] != UNKNOWN for x in predict(model, part.column(at).cast(pa.string()).to_pylist())], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+                texts = part.column(at).cast(pa.string()).to_pylist()
+                found = predict(model, texts) if known else [(None, 1.0) if t and _LETTER.search(t) else (UNKNOWN, 0.0) for t in texts]
+                fine = pa.array([x[0] != UNKNOWN and x[1] >= least and (languages is None or x[0] is None or x[0] in languages) for x in found], pa.bool_())
+                if "lang" in names and pa.types.is_string(part.schema.field("lang").type):
+                    k = names.index("lang")
+                    told = pa.array([was if was is not None else x[0] for was, x in zip(part.column(k).to_pylist(), found, strict=True)], pa.string())
+                    part = part.set_column(k, part.schema.field(k), told)
+                yield part.filter(fine)
+
+    return docs.mapInArrow(run, kinds)
 
 
 def held_out():
