@@ -302,8 +302,8 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     parts = text(unlike.filter(small).union(straddling.filter(small))).mapInArrow(_contexts, "key long, n long, doc_id long, th long, at long, bytes binary")
     whole_buckets = parts.groupBy("key").agg(F.collect_list(F.struct("n", *whose, "at", "bytes")).alias("c")).select("c")
     cold = whole_buckets.mapInArrow(_refined, "doc_id long, th long, start long, stop long")
-    strings = text(straddling.filter(~small)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th long, start long")
-    twice = strings.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b")
+    strings = materialize(text(straddling.filter(~small)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th long, start long"))
+    twice = materialize(strings.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b"))
     hot = strings.filter("n = 1").join(twice, ["a", "b"]).select(*whose, "start", (F.col("start") + LENGTH).alias("stop"))
     low = F.shiftright("at", 16)
 
