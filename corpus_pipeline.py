@@ -1,7 +1,9 @@
 """A training corpus from `documents`: language, near-duplicates, repeated passages, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`,
-with n_chars as it is after the stage. A stage's result is written as Parquet and reread as the next one's input.
+with n_chars as it is after the stage. A stage's result is written as Parquet and reread as the next one's input. Other
+columns, whatever their names, are carried along. Markup, licences, media and search have no stage here: `documents`
+holds plain texts, and those operators select or add nothing that a packed sequence keeps.
 """
 
 from __future__ import annotations
@@ -10,45 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protolith.llm import langid, minhash, packing, pii, suffix
-from protolith.llm.common import materialize, session, table
+from protolith.llm.common import carry, forget, materialize, session, table, uncarry
 
-#: No SQL expresses the stages; they are tested against brute force.
+#: No SQL expresses the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
-def _others(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c not in ("doc_id", "text")]
-
-
 def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+    out = uncarry(out, docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[str] | None = None, least: float = langid.LEAST_SCORE) -> DataFrame:
+    """Documents of another language than `languages` (None: the learned ones), or of a lower score than `least`, go.
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go; the others have a language and stay."""
+    So do documents without a letter. A null lang becomes the language found. Without labels only the latter go.
+    """
     session(spark)
-    return langid.accepted(docs, langid.model_of(docs))
+    return langid.accepted(docs, langid.model_of(docs), languages, least)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least doc_id. Links are at 0.8 on shingles of five words."""
+    """One document of each group stays: that of the least doc_id. Links are at 0.8 on shingles of five words.
+
+    Of rows that repeat a doc_id and its text one stays. Rows without doc_id are told apart by nothing and stay.
+    """
     session(spark)
     kept = minhash.group(docs, width=5, level=80).filter("kept").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    named = docs.filter("doc_id is not null")
+    again = materialize(named.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id").distinct())
+    out = named.join(kept, "doc_id", "left_semi").select(docs.columns)
+    if not again.isEmpty():
+        twice = out.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+        out = out.join(again, "doc_id", "left_anti").select(docs.columns).union(twice)
+    return out.union(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings that occur more than once go; a character cut in half reads as U+FFFD. Every document stays."""
+    """Bytes in strings that occur more than once go, the first occurrence too; a character cut in half reads as U+FFFD.
+
+    Every document stays.
+    """
     session(spark)
-    out = suffix.remove_repeats(docs, *_others(docs))
+    out = suffix.remove_repeats(carry(docs), "carried")
     return _as(docs, out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each selected span becomes its kind in brackets."""
     session(spark)
-    out = pii.detect(docs, *_others(docs))
+    out = pii.detect(carry(docs), "carried")
     return _as(docs, out.withColumn("text", pii.redacted(F.col("text"), F.col("spans"))))
 
 
@@ -63,6 +76,8 @@ STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("suffix_d
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
