@@ -29,6 +29,11 @@ def says(value: Column, *more: str) -> Column:
     return F.coalesce(~clean(value).isin(*EMPTY, *more), F.lit(False))
 
 
+def cell(row: Column, name: str) -> Column:
+    """The first cell of the column of just this name, as it is."""
+    return F.get(F.filter(row, lambda e: e["key"] == name), 0)["val"]
+
+
 def stripped(row: Column) -> Column:
     return F.transform(row, lambda e: F.struct(clean(e["key"]).alias("key"), clean(e["val"]).alias("val")))
 
