@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-BITS, QUERY_BLOCK, VECTOR_BLOCK = 6, 1024, 8192
+BITS, QUERY_BLOCK, VECTOR_BLOCK = 8, 1024, 8192
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
