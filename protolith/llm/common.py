@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches of whole documents may hold long texts, so a batch stays small in bytes.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -66,6 +66,18 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run):
+    """A function of batches that gives its free memory back at its end: the worker lives on beside later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text under these names only, whatever else the input has; a null text stays null."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

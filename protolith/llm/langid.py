@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, groups_of, table
+from .common import documents, groups_of, release, table, tidy
 
 DIMENSIONS, CHUNK_CHARS = 1 << 13, 1 << 19
 #: Bounds of the training sample: documents of one language, and of all; the Gram matrix has TOTAL rows at most.
@@ -114,12 +114,13 @@ def train(texts: list[str], langs: list[str]) -> dict:
 
 
 def train_on(x: np.ndarray, langs: list[str]) -> dict:
-    """Weights of all classifiers, a column each, and what a column separates; x has a row of counts for each document."""
-    texts = len(x) > 0
-    mean = x.mean(axis=0) if texts else 0
-    scale = 1 / np.sqrt(np.maximum(x.var(axis=0), 1e-7)) if texts else np.ones(DIMENSIONS, np.float32)
-    z = (x - mean) * scale / np.sqrt(DIMENSIONS)
-    gram = (z @ z.T).astype(np.float64) + 1
+    """Weights of all classifiers, a column each, and what a column separates; x, a row of counts for each document, changes."""
+    some = len(x) > 0
+    mean = x.mean(axis=0) if some else np.zeros(DIMENSIONS, np.float32)
+    scale = (1 / np.sqrt(np.maximum(x.var(axis=0), 1e-7)) / np.sqrt(DIMENSIONS)).astype(np.float32) if some else np.ones(DIMENSIONS, np.float32)
+    x -= mean
+    x *= scale
+    gram = (x @ x.T).astype(np.float64) + 1
     names = sorted(set(langs))
     of = {n: family(n) for n in names}
     pairs, w, b = [], [], []
@@ -127,8 +128,9 @@ def train_on(x: np.ndarray, langs: list[str]) -> dict:
     def add(kind, p, q, group):
         y = np.array([1.0 if g == p else -1.0 if g == q else 0.0 for g in group])
         at = np.flatnonzero(y)
-        k = svm(gram[np.ix_(at, at)], y[at])
-        v = (k @ z[at]) * scale / np.sqrt(DIMENSIONS)
+        k = np.zeros(len(y))
+        k[at] = svm(gram[np.ix_(at, at)], y[at])
+        v = (k.astype(np.float32) @ x) * scale
         pairs.append((kind, p, q))
         w.append(v)
         b.append(k.sum() - float(np.sum(mean * v)))
@@ -171,13 +173,13 @@ def predict(model: dict, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def _counted(batches):
-    schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
+    schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
     for b in batches:
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
             found = [counts(t) for t in part.column(1).to_pylist()]
-            at = [np.flatnonzero(c).astype(np.int32) for c in found]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([c[k] for c, k in zip(found, at, strict=True)], pa.list_(pa.float32()))], schema=schema)
+            at = [np.flatnonzero(c).astype("<i4") for c in found]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array([k.tobytes() for k in at], pa.binary()), pa.array([c[k].tobytes() for c, k in zip(found, at, strict=True)], pa.binary())], schema=schema)
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> dict:
@@ -192,11 +194,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTA
     allowed = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, 2.0 * each / n)])
     drawn = known.filter(F.abs(h % 1_000_000) < F.element_at(allowed, F.col("lang")) * 1_000_000).select("lang", "text", h.alias("h"), "doc_id")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    rows = drawn.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "text").mapInArrow(_counted, "lang string, at array<int>, x array<float>").collect()
+    rows = drawn.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "text").mapInArrow(_counted, "lang string, at binary, x binary").collect()
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for k, r in enumerate(rows):
-        x[k, r["at"]] = r["x"]
-    return train_on(x, [r["lang"] for r in rows])
+        x[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["x"], "<f4")
+    langs = [r["lang"] for r in rows]
+    del rows
+    model = train_on(x, langs)
+    del x
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -210,7 +217,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 found = predict(model, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], schema=schema)
 
-    return documents(docs).mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, text string, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: dict, languages: list[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
@@ -236,7 +243,7 @@ def accepted(docs: DataFrame, model: dict, languages: list[str] | None = None, l
                     part = part.set_column(k, part.schema.field(k), told)
                 yield part.filter(fine)
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(tidy(run), kinds)
 
 
 def held_out():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, forget, materialize, table
+from .common import documents, forget, materialize, table, tidy
 from .hashing import mix, shingles
 
 WIDTH, BANDS, ROWS = 3, 24, 4
@@ -134,7 +134,7 @@ def components(links: DataFrame) -> DataFrame:
 def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's least doc_id) of every document."""
     docs = documents(docs, F.xxhash64("text").alias("th"))
-    sketch = materialize(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, th long, n_shingles long, set_a long, set_b long, buckets array<long>"))
+    sketch = materialize(docs.mapInArrow(tidy(_sketch(width, bands, rows)), "doc_id long, th long, n_shingles long, set_a long, set_b long, buckets array<long>"))
     key = ["n_shingles", "set_a", "set_b"]
     full = sketch.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(full.groupBy(*key).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max_by("buckets", "doc_id").alias("buckets")).select(*key, F.col("rep.doc_id").alias("id"), "rep.doc_id", "rep.th", "buckets"))
@@ -153,7 +153,7 @@ def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int =
     texts = docs.join(wanted, ["doc_id", "th"]).select("id", "text")
     if apart or not full.groupBy("doc_id", "th").agg(F.count("*").alias("m")).filter("m > 1").isEmpty():
         texts = texts.dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(_sets(width), "id long, n long, s array<long>"))
+    sets = materialize(texts.mapInArrow(tidy(_sets(width)), "id long, n long, s array<long>"))
 
     pairs = member.join(pivot, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     extra = F.array_except("sa", "sb")

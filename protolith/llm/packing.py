@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, groups_of, materialize, release, table
+from .common import documents, groups_of, materialize, release, table, tidy
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
-    return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 # --- plan -----------------------------------------------------------------------------------------------------------

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, groups_of, materialize, table
+from .common import documents, forget, groups_of, materialize, table, tidy
 from .hashing import mix
 
 #: Length of the strings compared, and the q of the first buckets.
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     rows = documents(docs, *carried).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), th, "text", F.col("doc_id").alias("_doc"), *carried)
     base = rows.select("doc_id", "th", "text")
     whose = ["doc_id", "th"]
-    dealt = materialize(base.mapInArrow(_anchors, "doc_id long, th long, at long, key long, ctx long"))
+    dealt = materialize(base.mapInArrow(tidy(_anchors), "doc_id long, th long, at long, key long, ctx long"))
     # Written, so that the join's sides are plain shuffles, of which Spark splits a hot bucket's.
     shared = materialize(dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"))
     suffixes = materialize(dealt.join(shared, "key"))
@@ -293,16 +293,16 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     places = lambda df: df.groupBy(*whose).agg(F.collect_list(F.struct("key", "n", "at")).alias("places"))
     text = lambda df: base.join(places(df), whose).select(*whose, "text", "places")
     # Buckets too large for a task: their blocks, by deeper buckets.
-    blocks = materialize(text(unlike.filter(F.col("m") > TASK_CONTEXTS)).mapInArrow(_blocks, "doc_id long, th long, at long, key long, ctx long, n long"))
+    blocks = materialize(text(unlike.filter(F.col("m") > TASK_CONTEXTS)).mapInArrow(tidy(_blocks), "doc_id long, th long, at long, key long, ctx long, n long"))
     named = materialize(blocks.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", F.col("n").alias("was"))).alias("p")))
     deeper = materialize(named.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     # Those of contexts that are repeated anyway only take part.
     straddling = materialize(named.join(deeper, "key").select("key", F.greatest("n", "p.was").alias("n"), "m", "p.doc_id", "p.th", "p.at"))
     small = F.col("m") <= TASK_CONTEXTS
-    parts = text(unlike.filter(small).union(straddling.filter(small))).mapInArrow(_contexts, "key long, n long, doc_id long, th long, at long, bytes binary")
+    parts = text(unlike.filter(small).union(straddling.filter(small))).mapInArrow(tidy(_contexts), "key long, n long, doc_id long, th long, at long, bytes binary")
     whole_buckets = parts.groupBy("key").agg(F.collect_list(F.struct("n", *whose, "at", "bytes")).alias("c")).select("c")
-    cold = whole_buckets.mapInArrow(_refined, "doc_id long, th long, start long, stop long")
-    strings = materialize(text(straddling.filter(~small)).mapInArrow(_strings, "a long, b long, n long, doc_id long, th long, start long"))
+    cold = whole_buckets.mapInArrow(tidy(_refined), "doc_id long, th long, start long, stop long")
+    strings = materialize(text(straddling.filter(~small)).mapInArrow(tidy(_strings), "a long, b long, n long, doc_id long, th long, start long"))
     twice = materialize(strings.groupBy("a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b"))
     hot = strings.filter("n = 1").join(twice, ["a", "b"]).select(*whose, "start", (F.col("start") + LENGTH).alias("stop"))
     low = F.shiftright("at", 16)
@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     ranges = whole.union(cold).union(hot).groupBy(*whose).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     out = rows.join(ranges, whose, "left").select(F.col("_doc").alias("doc_id"), "text", "ranges", *carried)
     schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
-    return out.mapInArrow(_removed, T.StructType(schema.fields + [out.schema[c] for c in carried]))
+    return out.mapInArrow(tidy(_removed), T.StructType(schema.fields + [out.schema[c] for c in carried]))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
