@@ -37,7 +37,7 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def approximations(classes: DataFrame) -> DataFrame:
-    """The file: id, d (the dimension) and cells of distinct vectors (id, v), with the ranges that their cells divide."""
+    """The file: id, least, d (the dimension) and cells of distinct vectors (id, least, v), with the ranges that their cells divide."""
     each = classes.select(F.size("v").alias("d"), F.posexplode("v").alias("k", "x")).groupBy("d", "k").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     ranges = each.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("k", "low", "high"))).alias("r")).select("d", F.col("r.low").alias("low"), F.col("r.high").alias("high"))
 
@@ -47,10 +47,10 @@ def approximations(classes: DataFrame) -> DataFrame:
             for v, low, high in zip(b["v"], b["low"], b["high"], strict=True):
                 lo, width = _cells_of(low, high)
                 cells.append(np.minimum((np.asarray(v, np.float64) - lo) / width, 2**BITS - 1).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"id": b["id"], "d": b["d"], "low": b["low"], "high": b["high"], "cells": cells})
+            yield pd.DataFrame({"id": b["id"], "least": b["least"], "d": b["d"], "low": b["low"], "high": b["high"], "cells": cells})
 
     # A row for each dimension there is: small by nature.
-    return classes.withColumn("d", F.size("v")).join(ranges, "d").mapInPandas(run, "id long, d int, low array<long>, high array<long>, cells binary")
+    return classes.withColumn("d", F.size("v")).join(ranges, "d").mapInPandas(run, "id long, least long, d int, low array<long>, high array<long>, cells binary")
 
 
 def _cells_of(low, high) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,13 @@ def candidates(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             if len(asked):
                 lo, width = _cells_of(some["low"].iloc[0], some["high"].iloc[0])
                 cells = np.frombuffer(b"".join(some["cells"]), np.uint8).reshape(len(some), d)
-                for i, j, upper, lower in bounds(np.stack(asked["v"].to_numpy()), cells, lo, width, k):
+                zero = asked["v"].map(lambda w: not any(w))
+                # A zero query scores 0 with all: the least ids are its best, and no bound could tell them.
+                best = some.nsmallest(k, "least")["id"].to_numpy()
+                for one in asked.loc[zero, "id"]:
+                    out.append(pd.DataFrame({"q": np.full(len(best), one), "id": best, "upper": 0.0, "lower": 0.0}))
+                asked = asked[~zero]
+                for i, j, upper, lower in bounds(np.stack(asked["v"].to_numpy()), cells, lo, width, k) if len(asked) else ():
                     out.append(pd.DataFrame({"q": asked["id"].to_numpy()[i], "id": some["id"].to_numpy()[j], "upper": upper, "lower": lower}))
         return pd.concat(out)
 
@@ -104,7 +110,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = materialize(queries.groupBy("v", "vec_id").agg(F.count("*").alias("n")))
     which = materialize(members.select("id", "v").join(asked.select("v").distinct(), "v", "left_semi"))
     # One more than k, as the query itself may be among its best.
-    found = materialize(candidates(materialize(approximations(members.select("id", "v"))), which, k + 1))
+    found = materialize(candidates(materialize(approximations(members.select("id", "least", "v"))), which, k + 1))
     best = lambda c: Window.partitionBy("q").orderBy(F.desc(c), "id")
     floor = found.withColumn("at", F.row_number().over(best("lower"))).filter(F.col("at") == k + 1).select("q", F.col("lower").alias("floor"))
     open_ = found.join(floor, "q", "left").filter("floor is null or upper >= floor").select("q", "id", "upper")

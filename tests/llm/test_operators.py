@@ -140,6 +140,7 @@ def test_top_k(spark, monkeypatch, block):
     v = r.integers(-300, 300, (400, 8))
     v[50] = v[60] = v[70]
     v[200:330] = v[200]
+    v[100] = v[110] = 0
     v[7] *= 10**5
     rows = [(i, row.tolist()) for i, row in enumerate(v)] + [(50, v[50].tolist()), (50, v[50].tolist()), (300, v[300].tolist()), (350, v[1].tolist()), (500, [5, 6, 7]), (501, [7, 7, 7]), (550, [1])]
     data = [(i, [float(x) / 256 for x in row], i, "x") for i, row in rows] + [(900, None, 0, ""), (901, [None] * 8, 0, ""), (902, [float("nan")] * 8, 0, ""), (903, [], 0, ""), (950, [1e300] * 8, 0, ""), (None, [1.0] * 8, 0, "")]
