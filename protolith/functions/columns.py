@@ -67,9 +67,14 @@ def remark(row: Column) -> Column:
 
 def described_type(row: Column) -> Column:
     """The cell of the column that tells a type, by the strongest name; columns of lengths are none."""
-    other = lambda k: any_of(k, ("字节", "长度", "长", "数据段长度"))
-    named = [first(row, lambda k, t=t: k.contains(t) & ~other(k)) for t in TYPE]
-    return F.coalesce(*named, first(row, lambda k: F.upper(k).contains("TYPE") & ~any_of(k, ("字节", "长度"))))
+
+    def rank(k):
+        named = F.coalesce(*[F.when(k.contains(t), F.lit(i)) for i, t in enumerate(TYPE)])
+        other = F.when(F.upper(k).contains("TYPE") & ~any_of(k, ("字节", "长度")), F.lit(len(TYPE)))
+        return F.coalesce(F.when(~k.contains("长") & ~k.contains("字节"), named), other)
+
+    ranked = F.filter(F.transform(row, lambda e, i: F.struct(rank(e["key"]).alias("rank"), i.alias("i"), clean(e["val"]).alias("val"))), lambda x: x["rank"].isNotNull() & F.coalesce(~x["val"].isin(*EMPTY), F.lit(False)))
+    return F.array_min(ranked)["val"]
 
 
 def bits_of_length(row: Column) -> Column:

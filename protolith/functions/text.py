@@ -22,9 +22,13 @@ def first_match(s: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(s, pattern, group), F.lit(""))
 
 
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean(c: Column) -> Column:
-    """Strips all Unicode white space, which `trim` does not."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Strips all Unicode white space; `trim` alone strips blanks only."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def fields(c: Column) -> Column:
