@@ -1,13 +1,20 @@
-"""What the columns of a data row are for. A row is ARRAY<STRUCT<key, val>>, in the order of its columns."""
+"""What the columns of a data row are for. A row is ARRAY<STRUCT<key, val>>, in the order of its columns.
+
+Such a row is asked for its columns by tests of their names. `by_header` puts a row of another kind in its place: one
+whose list of names was tested once, for all rows that have it, and that is read by place.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 from . import types
 from .text import clean, let
 
@@ -20,6 +27,68 @@ LENGTHS = ("字节数", "字节", "数据长度", "数据段长度", "长度")
 REMARK = ("备注", "说明")
 
 
+#: Lists of names that are broadcast with the places of their columns; with more, each row's names are tested.
+MOST_HEADERS = 20_000
+
+
+def entries(row, fits: Callable[[Column], Column]) -> Column:
+    """The columns whose names fit, in their order."""
+    return F.filter(row, lambda e: fits(e["key"])) if isinstance(row, Column) else row.entries(lambda k: F.when(fits(k), 0))
+
+
+def ranked(row, rank: Callable[[Column], Column]) -> Column:
+    """The columns whose names have a rank, lowest first, then in their order."""
+    return _at(row, _ranks(F.transform(row, lambda e: e["key"]), rank)) if isinstance(row, Column) else row.entries(rank)
+
+
+def _ranks(keys: Column, rank) -> Column:
+    told = F.transform(keys, lambda k, i: F.struct(rank(k).alias("rank"), i.alias("i")))
+    return F.transform(F.array_sort(F.filter(told, lambda x: x["rank"].isNotNull())), lambda x: x["i"])
+
+
+def _at(row: Column, places: Column) -> Column:
+    return F.transform(places, lambda i: F.get(row, i))
+
+
+class _Asked:
+    """Stands for a row, and keeps what is asked of its names."""
+
+    def __init__(self):
+        self.ranks: list = []
+
+    def entries(self, rank) -> Column:
+        self.ranks.append(rank)
+        return F.expr("cast(null as array<struct<key:string,val:string>>)")
+
+
+class _Told:
+    """Stands for a row whose places are told, in the order in which they were asked for."""
+
+    def __init__(self, row: Column, places: Column):
+        self.row, self.places, self.k = row, places, 0
+
+    def entries(self, rank) -> Column:
+        self.k += 1
+        return _at(self.row, self.places.getField(f"p{self.k - 1}"))
+
+
+def by_header(df: DataFrame, row: str, build: Callable[[object], dict[str, Column]]) -> DataFrame:
+    """Adds the columns that `build` makes of a row. The names are tested once for each distinct list of them.
+
+    build asks the row it is given through `entries`, `ranked` and what this module and others make of them, in the same
+    order each time. df is read twice: stage what is costly.
+    """
+    asked = _Asked()
+    build(asked)
+    heads = F.transform(row, lambda e: e["key"])
+    places = F.struct(*[_ranks(F.col("_heads"), r).alias(f"p{k}") for k, r in enumerate(asked.ranks)])
+    told = staged(df.select(heads.alias("_heads")).distinct().filter("_heads is not null").select("_heads", places.alias("_places")))
+    if told.count() > MOST_HEADERS:
+        return df.withColumns(build(F.col(row)))
+    d = df.withColumn("_heads", heads).join(F.broadcast(told), "_heads", "left")
+    return d.select(*df.columns, *[v.alias(k) for k, v in build(_Told(F.col(row), F.col("_places"))).items()])
+
+
 def any_of(key: Column, words) -> Column:
     return reduce(or_, [key.contains(w) for w in words])
 
@@ -31,7 +100,7 @@ def says(value: Column, *more: str) -> Column:
 
 def cell(row: Column, name: str) -> Column:
     """The first cell of the column of just this name, as it is."""
-    return F.get(F.filter(row, lambda e: e["key"] == name), 0)["val"]
+    return F.get(entries(row, lambda k: k == name), 0)["val"]
 
 
 def stripped(row: Column) -> Column:
@@ -40,7 +109,7 @@ def stripped(row: Column) -> Column:
 
 def values(row: Column, fits, *more: str) -> Column:
     """The cells, in order, of the columns that fit by name and say something."""
-    return F.transform(F.filter(row, lambda e: fits(e["key"]) & says(e["val"], *more)), lambda e: clean(e["val"]))
+    return F.transform(F.filter(entries(row, fits), lambda e: says(e["val"], *more)), lambda e: clean(e["val"]))
 
 
 def first(row: Column, fits, *more: str) -> Column:
@@ -73,8 +142,7 @@ def described_type(row: Column) -> Column:
         other = F.when(F.upper(k).contains("TYPE") & ~any_of(k, ("字节", "长度")), F.lit(len(TYPE)))
         return F.coalesce(F.when(~k.contains("长") & ~k.contains("字节"), named), other)
 
-    ranked = F.filter(F.transform(row, lambda e, i: F.struct(rank(e["key"]).alias("rank"), i.alias("i"), clean(e["val"]).alias("val"))), lambda x: x["rank"].isNotNull() & F.coalesce(~x["val"].isin(*EMPTY), F.lit(False)))
-    return F.array_min(ranked)["val"]
+    return F.get(F.filter(F.transform(ranked(row, rank), lambda e: clean(e["val"])), lambda v: F.coalesce(~v.isin(*EMPTY), F.lit(False))), 0)
 
 
 def bits_of_length(row: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns, names, ranges, remarks, text, types, units
 from ..operators import classify, export, extract, link, lookup, normalise, stores, tables
 from ..staging import staged
-from .registry import query, read
+from .registry import query, read, spread
 
 
 def row(**cells) -> str:
@@ -28,7 +28,7 @@ SELECT o_orderkey, CASE WHEN n > 6 THEN 'skip' ELSE 'field_def' END AS table_typ
   CASE WHEN n BETWEEN 1 AND 6 THEN '' || o_custkey END AS target, CASE WHEN n BETWEEN 1 AND 6 THEN '' || (CASE WHEN n < 4 THEN 1 ELSE 4 END) END AS sub, CASE WHEN n BETWEEN 1 AND 6 THEN '31' END AS length,
   CASE WHEN n BETWEEN 2 AND 6 THEN '第' || (CASE WHEN n < 5 THEN 2 ELSE 5 END) END AS start, CAST(CASE WHEN n <= 6 THEN 2 END AS INTEGER) AS n_rows FROM (SELECT *, o_orderkey % 9 AS n FROM orders)""")
 def aggregate_tables(spark, sf_dir):
-    d = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_GRID).alias("grid"), F.lit("").alias("caption"))
+    d = spread(read(spark, sf_dir, "orders")).select("o_orderkey", F.expr(_GRID).alias("grid"), F.lit("").alias("caption"))
     d = d.withColumn("u", tables.understood(F.col("grid"), F.col("caption"))).withColumn("rows", F.when(F.col("u.header").isNotNull(), tables.data_rows(F.col("grid"), F.col("u.header"))))
     told = lambda k, c: F.try_element_at("u.meta", F.lit(k)).alias(c)
     return d.select("o_orderkey", "u.table_type", "u.msg_name", "u.header", told("信宿机器码", "target"), told("子地址", "sub"), told("数据段长度", "length"), told("发起时机", "start"), F.size("rows").alias("n_rows"))
@@ -78,10 +78,10 @@ def column_finders(spark, sf_dir):
     """Type, bits by length, content, number, remark, and a search both ways."""
     kind = "CASE l_linenumber % 4 WHEN 0 THEN 'UINT' || l_suppkey WHEN 1 THEN '—' END"
     r = row(序号="CASE WHEN l_linenumber % 2 = 0 THEN ' ' || l_linenumber END", 字节长类型="'无'", 转换类型="CASE l_linenumber % 4 WHEN 1 THEN 'FLOAT' ELSE '-' END", 数据类型=kind, MY_TYPE="CASE WHEN l_linenumber % 4 = 2 THEN l_partkey END", 字节数="l_suppkey % 9", 信号名称="'—'", 数据含义="'量' || l_partkey", 说明="CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus END", 数据处理方法="CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag ELSE '' END", 长状态="l_linestatus")
-    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(r).alias("r"))
-    c = F.col("r")
-    counted = F.when(columns.described_type(c).isNull(), columns.bits_of_length(c))
-    return d.select("l_orderkey", "l_linenumber", columns.described_type(c).alias("described"), counted.alias("counted"), columns.content(c).alias("content"), columns.sequence_number(c).alias("seq"), columns.remark(c).alias("remark"), columns.both_ways(c, ["状态", "长状态的说法"]).alias("found"))
+    d = spread(read(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", F.expr(r).alias("r"))
+    told = lambda c: {"described": columns.described_type(c), "bits": columns.bits_of_length(c), "content": columns.content(c), "seq": columns.sequence_number(c), "remark": columns.remark(c), "found": columns.both_ways(c, ["状态", "长状态的说法"])}
+    d = columns.by_header(d, "r", told).withColumn("counted", F.when(F.col("described").isNull(), F.col("bits")))
+    return d.select("l_orderkey", "l_linenumber", "described", "counted", "content", "seq", "remark", "found")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN '' || o_custkey WHEN 2 THEN 'a' END AS source, CASE o_orderkey % 4 WHEN 0 THEN 'b→c' WHEN 1 THEN 'b-c' WHEN 2 THEN 'b' END AS target FROM orders""")
@@ -150,7 +150,7 @@ def range_sources(spark, sf_dir):
 def formula_source(spark, sf_dir):
     """Where a row's conversion is described: the formula column as it is, then conversion, then processing."""
     r = row(转换公式="CASE l_linenumber % 6 WHEN 0 THEN '任意' || l_partkey ELSE '—' END", 数据转换方法="CASE l_linenumber % 6 WHEN 1 THEN '乘以' || l_partkey || '000' WHEN 3 THEN '0x1:开 0x2:关 ×2' WHEN 4 THEN '' || l_partkey END", 数据处理="CASE l_linenumber % 6 WHEN 2 THEN '除以 ' || l_partkey || '000' WHEN 5 THEN '乘以2' END", 备注="'详细说明'")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", remarks.described_formula(F.expr(r)).alias("formula"))
+    return spread(read(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", remarks.described_formula(F.expr(r)).alias("formula"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'UINT16' WHEN 1 THEN 'FLOAT' END AS std_type, CAST(CASE l_linenumber % 3 WHEN 0 THEN 16 WHEN 1 THEN 32 ELSE 8 END AS INTEGER) AS bits,
@@ -160,7 +160,7 @@ def normalised_rows(spark, sf_dir):
     """Rows normalised as a whole; of a remark that lists values only the range is taken, and it wins."""
     q = "CAST(l_quantity AS INT)"
     r = row(内容="'某'", 类型="CASE l_linenumber % 3 WHEN 0 THEN ' ushort ' WHEN 1 THEN '单精度浮点' ELSE '—' END", 字节数="CASE l_linenumber % 3 WHEN 2 THEN 1 ELSE 9 END", 值域=f"CASE l_linenumber % 3 WHEN 0 THEN '0~' || {q} WHEN 1 THEN '9~9' END", 单位="CASE l_linenumber % 3 WHEN 0 THEN 'ms' ELSE '' END", 数据处理=f"CASE l_linenumber % 3 WHEN 0 THEN '乘以 ' || {q} || '+1' END", 备注=f"CASE l_linenumber % 3 WHEN 1 THEN '0:关 {{x}} ' || {q} || ':开 乘以 3' WHEN 2 THEN '1~' || {q} || '0，单位 ：V，乘以0.5，某' ELSE '某' END".replace("{x}", "").replace("{{}}", ""))
-    d = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(r).alias("row"))
+    d = spread(read(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", F.expr(r).alias("row"))
     return normalise.normalised(d).select("l_orderkey", "l_linenumber", "std_type", "bits", "value_range", "unit", "formula")
 
 
@@ -204,7 +204,7 @@ def link_meta(spark, sf_dir):
 
 
 _ROWS = """, l AS (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
-r AS (SELECT t.doc, t.idx, t.msg, t.p_partkey, t.size, t.k, t.id, l.*, row_number() OVER (PARTITION BY doc, idx ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS pos FROM t JOIN l ON l_partkey = p_partkey),
+r AS (SELECT t.doc, t.idx, t.msg, t.p_partkey, t.size, t.k, t.id, l.*, row_number() OVER (PARTITION BY doc, idx ORDER BY l_orderkey, l_linenumber, l_suppkey, '0~' || q) - 1 AS pos FROM t JOIN l ON l_partkey = p_partkey),
 following AS (SELECT doc, idx, (SELECT min(p_partkey) FROM p b WHERE b.doc = t.doc AND b.p_partkey % 2 = 0 AND 11 + 2 * b.p_partkey > t.idx) AS b FROM t),
 x AS (SELECT r.*, s.p_size AS bit_size, sub FROM r LEFT JOIN following USING (doc, idx) LEFT JOIN part s ON s.p_partkey = following.b, (SELECT unnest([0, 1, 2]) AS sub) WHERE sub = 0 OR (l_linenumber = 7 AND b IS NOT NULL))
 """

@@ -20,3 +20,14 @@ def query(oracle: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tables up to so many bytes may be few row groups, so few tasks; larger ones have tasks enough.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table, dealt to all cores: for work that costs far more than its input is long."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
