@@ -1,16 +1,18 @@
 """Main text of web pages by union-free wrappers, inferred for each host by aligning its pages.
 
 A page is a stream of tags and texts. `infer` folds groups that repeat side by side, then aligns the folded streams of
-up to `PAGES` pages of a host one after another: equal tokens stay, texts that differ become slots, runs of tokens that
-only one side has become optional groups, folded groups repeat. The wrapper is a regular expression without unions, and
-it names the containers whose slots hold most text, which are the host's article. `extract` reads those containers of
-every page, without the parts that are never article: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, and without blocks that are constant in the wrapper, unless those are most of the
-article, as on pages that are copies. A page without its host's containers uses those it infers from itself.
+up to `PAGES` pages of a host one after another by longest common subsequences, exact at every length: equal tokens stay,
+texts that differ become slots, runs of tokens that only one side has become optional groups, folded groups repeat. The
+wrapper is a regular expression without unions. From `TELLING` different pages of a host on it decides: the host's article
+is the containers whose slots hold most text, an element named article or main only if it holds that, and a container
+that the wrapper finds to be mostly constant is none. With fewer pages names of elements and words decide. `extract`
+reads those containers of every page, without the parts that are never article: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments, and without blocks that are constant in the wrapper where
+they are a container's first or last ones; not even those where they are over a quarter of the article. An element that holds the greatest article, or nearly all text, isn't cut by a word of its class. A page without
+its host's containers uses those it infers from itself.
 
 At most `PAGES` pages of a host, one for each value of a hash of the url, teach a wrapper; that is a documented bound
-on training, and every page is aligned and extracted whole. Streams over `ALIGNED` tokens are cut at tokens that both
-have once before they are aligned. Wrappers are broadcast where they are at most `BROADCAST_BYTES`, so no page moves;
+on training, and every page is aligned and extracted whole. Wrappers are broadcast where they are at most `BROADCAST_BYTES`, so no page moves;
 larger ones are dealt with the pages by host and a salt. Null or empty html gives an empty text; a null url is a host of
 its own; of containers of equal mass the greater name wins; repeated rows give equal texts; other columns play no part;
 an empty table gives no rows.
@@ -21,9 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
-from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import groupby
 
@@ -34,12 +34,16 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 PAGES = 8
-#: Streams of more folded tokens are aligned piece by piece.
-ALIGNED = 4000
+#: Bits of alignment tables that are held at once; with more, rows are computed again where they are needed.
+TABLE_BITS = 1 << 28
 #: Wrappers of up to so many bytes in all are broadcast; pages of a host are dealt over SALTS tasks else.
 BROADCAST_BYTES, SALTS = 64 << 20, 64
 #: An article has this share of the greatest article's text at least; smaller ones are teasers.
 SHARE = 0.25
+#: An element with this share of a page's text isn't cut by a word of its class.
+NEARLY_ALL = 0.9
+#: Of pages that vary in less of their text nothing is told; ends of an article that are more of it than the rest of this aren't cut.
+LEAST_VARYING, MOST_KEPT = 0.25, 0.75
 #: Constant texts are told from so many different pages of a host on.
 TELLING = 3
 #: Elements and words of class or id that never are article; void, block and container elements.
@@ -80,32 +84,37 @@ def tokens(html: str):
 
 
 def _never(tag: str, level: int, stack: list, spared: bool) -> bool:
-    """Whole pages, main and code are never cut by a word; articles, and what holds the article, not by a part of a name."""
+    """Whole pages, main, code and what is spared are never cut by a word; articles not by a part of a name."""
     if tag in NEVER:
         return True
     if not level or tag in ("html", "body", "main") or any(s[0] in ("pre", "code") for s in stack):
         return False
-    return level == 2 or not (spared or tag == "article")
+    return not (spared or level == 1 and tag == "article")
 
 
 def walk(html: str):
     """(kind, tag, name, text, stack) with unclosed elements closed; stack holds (tag, name, never, number)."""
     known = list(tokens(html))
     spared: set[int] = set()
-    if any(kind == 1 and _named(rest)[1] == 1 for kind, _, rest in known):
-        # Elements named by a part only that hold an article or main, or more than half of the text, aren't boilerplate.
+    levels = {n: _named(rest)[1] for n, (kind, _, rest) in enumerate(known) if kind == 1}
+    if any(levels.values()):
+        # Named by a part only: spared if they hold an article or main, or more than half of the text. Named by a whole
+        # word: if they hold the greatest article or main (one that isn't named so itself), or nearly all text.
         inside: Counter = Counter()
         total = 0
-        every = {n for n, t in enumerate(known) if t[0] == 1}
-        for kind, tag, _, text, stack in _walk(known, every):
+        above: dict[int, list[int]] = {}
+        for kind, tag, _, text, stack in _walk(known, set(levels)):
             if kind == 0 and not any(s[2] for s in stack):
                 n = len("".join(text.split()))
                 total += n
                 for s in stack:
                     inside[s[3]] += n
             elif kind == 1 and tag in ("article", "main") and stack and not any(s[2] for s in stack):
-                spared.update(s[3] for s in stack)
-        spared |= {k for k, n in inside.items() if 2 * n > total}
+                above[stack[-1][3]] = [s[3] for s in stack[:-1]]
+                spared.update(s[3] for s in stack if levels[s[3]] == 1)
+        spared |= {k for k, n in inside.items() if levels[k] == 1 and 2 * n > total or n > NEARLY_ALL * total}
+        named = [k for k in above if levels[k] < 2]
+        spared.update(above[max(named, key=lambda k: (inside[k], -k))] if named else ())
     yield from _walk(known, spared)
 
 
@@ -180,55 +189,82 @@ def _shape(t: tuple) -> tuple:
     return ("#",) if t[0] in "#*" else t[1] if t[0] == "?" else t[:2]
 
 
-def _pieces(a: list, b: list):
-    """Slices of both streams that are aligned with each other, cut at shapes that both have once, in one order."""
-    if len(a) <= ALIGNED and len(b) <= ALIGNED:
-        yield 0, len(a), 0, len(b)
-        return
-    once = {t for t, n in Counter(a).items() if n == 1} & {t for t, n in Counter(b).items() if n == 1}
-    where = {t: k for k, t in enumerate(b) if t in once}
-    # The longest rising run of places in b.
-    tails: list[int] = []
-    at: list[tuple[int, int]] = []
-    back: dict[int, int] = {}
-    for i, t in enumerate(a):
-        if t in where:
-            k = bisect_left(tails, where[t])
-            tails[k:k + 1] = [where[t]]
-            at[k:k + 1] = [(i, where[t])]
-            back[where[t]] = at[k - 1][1] if k else -1
-    cuts, k = [], tails[-1] if tails else -1
-    place = {where[t]: i for i, t in enumerate(a) if t in where}
-    while k >= 0:
-        cuts.append((place[k], k))
-        k = back[k]
-    i = k = 0
-    for x, y in [*reversed(cuts), (len(a), len(b))]:
-        n = max(1, -(-max(x - i, y - k) // ALIGNED))  # a piece without such tokens is cut evenly
-        for j in range(n):
-            yield i + (x - i) * j // n, i + (x - i) * (j + 1) // n, k + (y - k) * j // n, k + (y - k) * (j + 1) // n
-        i, k = x, y
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence, as places in both: a row of the table is the bits of a whole number."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    k = 0
+    while k < min(len(a), len(b)) - i and a[-1 - k] == b[-1 - k]:
+        k += 1
+    head, tail = [(x, x) for x in range(i)], [(len(a) - x, len(b) - x) for x in range(k, 0, -1)]
+    a, b = a[i : len(a) - k], b[i : len(b) - k]
+    if not a or not b:
+        return head + tail
+    masks: dict = {}
+    for j, t in enumerate(b):
+        masks[t] = masks.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def rows(v: int, part: list) -> list[int]:
+        """The rows behind row v; a bit is 0 where the length grows."""
+        out = []
+        for t in part:
+            u = v & masks.get(t, 0)
+            v = (v + u | v - u) & full
+            out.append(v)
+        return out
+
+    # Every nth row is kept, the others come again from the one before.
+    step = max(1, -(-len(a) * len(b) // TABLE_BITS))
+    kept, v = [full], full
+    for at in range(0, len(a), step):
+        v = rows(v, a[at : at + step])[-1]
+        kept.append(v)
+    found, x, j, block, table = [], len(a), len(b), -1, [full]
+    while x and j:
+        if (x - 1) // step != block:
+            block = (x - 1) // step
+            table = [kept[block], *rows(kept[block], a[block * step : (block + 1) * step])]
+        at = x - block * step
+        if table[at] >> (j - 1) & 1:
+            j -= 1
+        else:
+            x -= 1
+            if not x or table[at - 1] >> (j - 1) & 1:
+                j -= 1
+                found.append((x + i, j + i))
+    return head + found[::-1] + tail
 
 
 def align(wrapper: list[tuple], page: list[tuple], number: int = 1) -> list[tuple]:
     """The wrapper that matches both: slots for texts that differ, optional groups for what one side lacks.
 
-    An optional token is ('?', shape, group); the tokens of one run have one group, named by the page's number.
+    Tokens that are equal, texts included, are aligned first, and between them those of one shape. An optional token is
+    ('?', shape, group); the tokens of one run have one group, named by the page's number.
     """
     a, b = [_shape(t) for t in wrapper], [_shape(t) for t in page]
+    whole = lambda stream: [t[:2] if t[0] in "#</" and len(t) > 1 else _shape(t) for t in stream]
+    pairs, i, k = [], 0, 0
+    for x, y in [*common(whole(wrapper), whole(page)), (len(a), len(b))]:
+        pairs += [(i + m, k + n) for m, n in common(a[i:x], b[k:y])]
+        pairs.append((x, y))
+        i, k = x + 1, y + 1
     out: list[tuple] = []
-    for i0, j0, k0, m0 in _pieces(a, b):
-        for op, i, j, k, m in SequenceMatcher(None, a[i0:j0], b[k0:m0], autojunk=False).get_opcodes():
-            i, j, k, m = i + i0, j + i0, k + k0, m + k0
-            if op == "equal":
-                for x, y in zip(wrapper[i:j], page[k:m], strict=True):
-                    if x[0] == "+" and y[0] == "+":
-                        out.append((*x[:2], x[2] & y[2]))
-                    else:
-                        out.append(("*",) if x[0] == "#" and y[0] == "#" and x != y else x)
-            else:
-                out += [t if t[0] == "?" else ("?", _shape(t), (number, len(out), 0)) for t in wrapper[i:j]]
-                out += [("?", t, (number, k, 1)) for t in b[k:m]]
+    i = k = 0
+    for x, y in pairs:
+        out += [t if t[0] == "?" else ("?", _shape(t), (number, len(out), 0)) for t in wrapper[i:x]]
+        out += [("?", t, (number, y, 1)) for t in b[k:y]]
+        i, k = x + 1, y + 1
+        if x == len(a):
+            break
+        p, q = wrapper[x], page[y]
+        if p[0] == "?":
+            out.append(p)
+        elif p[0] == "+" and q[0] == "+":
+            out.append((*p[:2], p[2] & q[2]))
+        else:
+            out.append(("*",) if p[0] == "#" and q[0] == "#" and p != q else p)
     return _grouped(out)
 
 
@@ -277,9 +313,11 @@ def containers(html: str, fixed: frozenset = frozenset()) -> Counter:
     return mass
 
 
-def main_of(pages: list[str], fixed: frozenset = frozenset()) -> tuple[str, ...]:
+def main_of(pages: list[str], fixed: frozenset = frozenset(), told: bool = False) -> tuple[str, ...]:
     """The names of the article's containers: articles or main if there are any, else the innermost whose slots hold most text.
 
+    Where a wrapper tells constants (`told`), articles or main must hold most of what the slots hold.
+
     Several articles, such as posts of different classes, are all read, if they are of some size beside the greatest.
     Text in no container at all, as in a fragment, is the article itself: the name is empty.
     """
@@ -292,24 +330,33 @@ def main_of(pages: list[str], fixed: frozenset = frozenset()) -> tuple[str, ...]
                 names = [s[1] for s in stack if s[0] in CONTAINER]
                 if names:
                     inner[names[-1]] += len("".join(text.split()))
+    total = max(mass.values(), default=0)
     for tag in ("article", "main"):
         named = [n for n in mass if n.split("[")[0] == tag]
-        if named:
+        # Nested articles of several names count more than once here, which only makes them likelier.
+        if named and not (told and 2 * sum(mass[n] for n in named) <= total):
             most = max(mass[n] for n in named)
             return tuple(sorted(n for n in named if mass[n] >= SHARE * most))
-    total = max(mass.values(), default=0)
     fit = [n for n in mass if mass[n] >= 0.6 * total]
     return (max(fit, key=lambda n: (inner[n], n), default=""),)
 
 
+def _varying(html: str, fixed: frozenset = frozenset()) -> int:
+    """Characters outside what never is article, without those that are constant."""
+    return sum(len("".join(text.split())) for kind, _, _, text, stack in walk(html) if kind == 0 and not _constant(text, stack, fixed) and not any(s[2] or s[0] in ("a", *OUTSIDE) for s in stack))
+
+
 def infer(pages: list[str]) -> dict:
     wrapper: list[tuple] = []
     for k, p in enumerate(pages):
         wrapper = align(wrapper, stream(p), k) if k else stream(p)
-    fixed = constants(wrapper) if len(set(pages)) >= TELLING else frozenset()
-    main = main_of(pages, fixed)
-    if fixed and 2 * sum(len(extract(p, main, fixed)) for p in pages) < sum(len(extract(p, main)) for p in pages):
-        fixed, main = frozenset(), main_of(pages)  # the pages are copies of each other
+    told = len(set(pages)) >= TELLING
+    fixed = constants(wrapper) if told else frozenset()
+    if fixed and sum(_varying(p, fixed) for p in pages) < LEAST_VARYING * sum(_varying(p) for p in pages):
+        fixed, told = frozenset(), False  # the pages are copies of each other
+    main = main_of(pages, fixed, told)
+    if fixed and sum(len(extract(p, main, fixed)) for p in pages) < MOST_KEPT * sum(len(extract(p, main)) for p in pages):
+        fixed = frozenset()
     return {"main": json.dumps(main), "fixed": json.dumps(sorted(fixed)), "expression": expression(wrapper)}
 
 
@@ -324,28 +371,34 @@ def _main(told: str | None) -> tuple[str, ...] | None:
 
 
 def extract(html: str, main: tuple[str, ...] | None, fixed: frozenset = frozenset()) -> str:
-    """The article's blocks, joined by line ends, without those that are constant in the wrapper."""
-    blocks: list[str] = []
+    """The article's blocks, joined by line ends; of each container's first and last ones those that are constant go."""
+    #: (text, whether it is constant, number of its container)
+    blocks: list[tuple[str, bool, int]] = []
     now: list[str] = []
     seen = slot = False
+    where = -1
 
     def end():
         nonlocal slot
-        if slot and (text := " ".join("".join(now).split())):
-            blocks.append(text)
+        if text := " ".join("".join(now).split()):
+            blocks.append((text, not slot, where))
         now.clear()
         slot = False
 
     for kind, tag, _, text, stack in walk(html):
-        inside = main == ("",)
+        inside, own = main == ("",), -1
         for s in stack:
-            inside = inside or bool(main) and s[1] in main
+            if not inside and main and s[1] in main:
+                inside, own = True, s[3]
             if s[2] or not inside and s[0] in OUTSIDE:
                 inside = False
                 break
         seen = seen or inside
         if kind == 0:
             if inside:
+                if own != where:
+                    end()
+                    where = own
                 now.append(entities.unescape(text))
                 slot = slot or bool(text.strip()) and not _constant(text, stack, fixed)
         elif tag in BLOCK:
@@ -356,7 +409,12 @@ def extract(html: str, main: tuple[str, ...] | None, fixed: frozenset = frozense
     if not seen and main is not None:
         own = main_of([html])
         return extract(html, own, fixed) if own != main else ""
-    return "\n".join(blocks)
+    out: list[str] = []
+    for _, run in groupby(blocks, lambda b: b[2]):
+        part = list(run)
+        varying = [k for k, b in enumerate(part) if not b[1]]
+        out += [b[0] for b in part[varying[0] : varying[-1] + 1]] if varying else []
+    return "\n".join(out)
 
 
 def _infer_batches(batches):

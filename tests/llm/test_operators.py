@@ -376,7 +376,7 @@ def test_wrappers_on_ordinary_markup(html, want):
 
 
 def test_wrappers_align_like_a_plain_aligner(monkeypatch):
-    """Optional groups, slots and repeats; long streams cut in pieces give what one alignment gives."""
+    """Optional groups, slots and repeats; tables whose rows are computed again give what one table gives."""
     r = np.random.default_rng(5)
     def page(n):
         rows = "".join(f"<tr><td>{r.integers(1e9)}</td></tr>" for _ in range(int(r.integers(1, 4))))
@@ -388,13 +388,60 @@ def test_wrappers_align_like_a_plain_aligner(monkeypatch):
     assert ")+" in whole["expression"] and wrappers._main(whole["main"]) == ("article",)
     long = [f"<body><div id=menu>{''.join(f'<a href=x>link {k}</a><hr>' for k in range(40))}</div><article>" + "".join(f"<h2>part {n} {k}</h2><p>text {n} {k} {r.integers(1e9)}</p>" for k in range(30)) + "</article></body>" for n in range(4)]
     want = wrappers.infer(long)
-    monkeypatch.setattr(wrappers, "ALIGNED", 16)
+    monkeypatch.setattr(wrappers, "TABLE_BITS", 1000)
     got = wrappers.infer(long)
+    assert got == want
     for p in long:
         texts = [wrappers.extract(p, wrappers._main(w["main"]), wrappers._fixed(w["fixed"])) for w in (want, got)]
         assert texts[0] == texts[1] == "\n".join(re.findall(r"<(?:h2|p)>([^<]*)<", p))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.sampled_from([1, 1 << 20]))
+def test_common_subsequence(a, b, bits):
+    """As long as the quadratic table says, rising in both, and equal."""
+    wrappers.TABLE_BITS, was = bits, wrappers.TABLE_BITS
+    found = wrappers.common(a, b)
+    wrappers.TABLE_BITS = was
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    assert len(found) == n[-1][-1] and all(a[i] == b[j] for i, j in found)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<body><div class='page login'><article>Hello</article></div></body>", "Hello"),
+        ("<body><div class='widget'><article>Hello there</article></div></body>", "Hello there"),
+        ("<body class='page'><div class='login'><p>Hello</p></div></body>", "Hello"),
+        ("<body><article>Hello all of you</article><div class=comments><article class=comment>me too</article><article>and me</article></div></body>", "Hello all of you"),
+        ("<body><article>Hello all of you</article><div class=widget>buy</div></body>", "Hello all of you"),
+    ],
+)
+def test_words_do_not_empty_pages(html, want):
+    assert wrappers.extract(html, wrappers.main_of([html])) == want
+
+
+def test_constant_headings_stay():
+    page = "<body><div class=site>Cooking since 1901</div><article><h1>Dish {0}</h1><h2>Ingredients</h2><p>{0} eggs and {0} nuts</p><h2>Method</h2><p>Stir {0} times, then wait {0} hours</p><p>Write to the cook</p></article></body>"
+    pages = [page.format(f"n{k}{'x' * k}") for k in range(5)]
+    w = wrappers.infer(pages)
+    assert wrappers.extract(pages[2], wrappers._main(w["main"]), wrappers._fixed(w["fixed"])) == "Dish n2xx\nIngredients\nn2xx eggs and n2xx nuts\nMethod\nStir n2xx times, then wait n2xx hours"
+
+
+def test_slots_decide_against_names():
+    """Constant articles beside a plain element that varies; a menu of other class names; one page alone goes by names."""
+    page = "<body><div class=items><span>Home of news</span><span>Places and people</span></div><article>Our ten best stories of the year, told again for you and all your friends</article><div class=text><p>{}</p><p>{}</p></div></body>"
+    pages = [page.format(f"story {k} " * (5 + k), f"more of {k} " * 6) for k in range(4)]
+    w = wrappers.infer(pages)
+    assert wrappers._main(w["main"]) == ("div[class=text]",)
+    assert wrappers.extract(pages[1], wrappers._main(w["main"]), wrappers._fixed(w["fixed"])) == f"{('story 1 ' * 6).strip()}\n{('more of 1 ' * 6).strip()}"
+    assert wrappers.main_of(pages[:1]) == ("article",)
+
+
 def test_wrappers_by_salt(spark, monkeypatch):
     rows = [(i, f"http://a.org/{i}" if i % 5 else None, f"<body><article><p>story {i}</p></article></body>") for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("main", F.lit("x"))
