@@ -10,9 +10,11 @@ The queries' exact vectors and the cells are dealt by hash into blocks of bounde
 every block of cells once: a stated query set against all rows. Exact vectors stay where they are until they are read.
 Equal vectors are one candidate with their k + 1 least ids, so a vector that is most of the table is scored once.
 
-Vectors that are null, empty, or hold null or non-finite components, and rows with null ids, take no part; nor do
-vectors of d components of which one is over 2**31 / sqrt(d) as an integer, as a long might not hold their scores. Only vectors of a
-query's own dimension are compared with it. A candidate is a row: a query meets every row but itself, so of rows that
+Vectors that are null, empty, or hold null or non-finite components, and rows with null ids, take no part; nor do those
+of which a component is 2**140 or more as an integer, which a float can't be. Integers are kept as doubles, which hold
+them exactly. Where one of the table is too great for scores in longs, those pairs are scored in whole numbers of any
+length, and ranked by them; a score that isn't a long is null then. Only vectors of a query's own dimension are compared
+with it. A candidate is a row: a query meets every row but itself, so of rows that
 repeat an id and its vector each is a query and finds the others. Ties go to the smaller vec_id. An empty table gives no
 rows; other columns play no part.
 """
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -30,10 +32,35 @@ BITS, QUERY_BLOCK, VECTOR_BLOCK = 8, 1024, 8192
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
+    """vec_id and v: whole numbers floor(scale * x), as doubles; scale is a power of two, so nothing is rounded."""
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)
-    finite = F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double") * scale) < 2.0**31 / F.sqrt(F.size(x))) & ~F.isnan(v))
-    return vectors.filter(fine & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
+    finite = F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double") * scale) < 2.0**140) & ~F.isnan(c))
+    whole = lambda y: F.when(F.abs(y) < 2.0**62, F.floor(y).cast("double")).otherwise(y)
+    return vectors.filter(fine & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: whole(c.cast("double") * scale)).alias("v"))
+
+
+def great(v: Column) -> Column:
+    """Whether the vector may have scores that a long can't hold."""
+    return F.exists(v, lambda x: F.abs(x) >= 2.0**31 / F.sqrt(F.size(v)))
+
+
+LIMB = 62
+
+
+def limbs(score: int) -> list[int]:
+    """A whole number of up to 310 bits as five longs that are ordered as it is: the first has the sign."""
+    return [score >> LIMB * 4, *[score >> LIMB * k & (1 << LIMB) - 1 for k in (3, 2, 1, 0)]]
+
+
+def whole(told: Column) -> Column:
+    """The long that limbs are, or null."""
+    high = F.transform(F.slice(told, 1, 3), lambda x: F.when(x >= 1 << LIMB - 1, x - (1 << LIMB)).otherwise(x))
+    sign, top, low = F.get(told, 0), F.get(told, 3), F.get(told, 4)
+    # Bits 62 and up of a long are all its sign's.
+    fits = F.forall(high, lambda x: x == sign) & (((sign == 0) & (top <= 1)) | ((sign == -1) & (top >= (1 << LIMB) - 2)))
+    small = F.when(top == 0, low).when(top == (1 << LIMB) - 1, low - (1 << LIMB)).when(top == 1, low + (1 << LIMB)).otherwise(low - (1 << LIMB) - (1 << LIMB))
+    return F.when(fits, small)
 
 
 def approximations(classes: DataFrame) -> DataFrame:
@@ -50,7 +77,7 @@ def approximations(classes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "least": b["least"], "d": b["d"], "low": b["low"], "high": b["high"], "cells": cells})
 
     # A row for each dimension there is: small by nature.
-    return classes.withColumn("d", F.size("v")).join(ranges, "d").mapInPandas(run, "id long, least long, d int, low array<long>, high array<long>, cells binary")
+    return classes.withColumn("d", F.size("v")).join(ranges, "d").mapInPandas(run, "id long, least long, d int, low array<double>, high array<double>, cells binary")
 
 
 def _cells_of(low, high) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +128,7 @@ def candidates(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score for integer vectors (vec_id, v); queries are rows of vectors."""
+    """query_id, rank, vec_id, score for vectors of whole numbers (vec_id, v: array<double>); queries are rows of vectors."""
     # Equal vectors are one class, named by its least id: of its rows only the k + 1 least ids can be an answer.
     rows = materialize(vectors.groupBy("v", "vec_id").agg(F.count("*").alias("n")))
     order = Window.partitionBy("v").orderBy("vec_id")
@@ -116,16 +143,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     open_ = found.join(floor, "q", "left").filter("floor is null or upper >= floor").select("q", "id", "upper")
     open_ = materialize(open_.withColumn("at", F.row_number().over(best("upper"))))
 
+    long_enough = members.filter(great(F.col("v"))).isEmpty()
+
+    def exact(batches):
+        for b in batches:
+            told = [limbs(sum(int(x) * int(y) for x, y in zip(v, w, strict=True))) for v, w in zip(b["v"], b["w"], strict=True)]
+            yield pd.DataFrame({"q": b["q"], "id": b["id"], "score": told})
+
     def read(pairs):
-        """Exact scores of pairs, in whole numbers."""
-        exact = members.select("id", "v", "rows")
-        both = pairs.join(exact, "id").join(which.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
-        product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-        return both.select("q", "rows", product.alias("score"))
+        """Exact scores of pairs, in whole numbers: longs, or their limbs where one of the table is too great for that."""
+        both = pairs.join(members.select("id", "v"), "id").join(which.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
+        product = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("long") * y.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+        scored = both.select("q", "id", product.alias("score")) if long_enough else both.select("q", "id", "v", "w").mapInPandas(exact, "q long, id long, score array<long>")
+        return scored.join(members.select("id", "rows"), "id").select("q", "rows", "score")
 
     first = materialize(read(open_.filter(F.col("at") <= 2 * (k + 1))))
     kth = first.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("at") == k + 1).select("q", F.col("score").alias("kth"))
-    rest = open_.filter(F.col("at") > 2 * (k + 1)).join(kth, "q").filter("upper >= kth").select("q", "id")
+    # As a double it is off by less than the bounds' own slack.
+    value = F.col("kth").cast("double") if long_enough else sum((F.get("kth", F.lit(n)).cast("double") * 2.0 ** (LIMB * (4 - n)) for n in range(5)), F.lit(0.0))
+    rest = open_.filter(F.col("at") > 2 * (k + 1)).join(kth, "q").filter(F.col("upper") >= value).select("q", "id")
     scores = first.union(read(rest))
     # Each row of a class, as often as it is there, for each row of the query's class; the query's own row once less.
     told = scores.select("q", "score", F.explode("rows").alias("r")).select("q", "score", "r.vec_id", "r.n")
@@ -136,7 +172,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     each = F.flatten(F.transform("best", lambda x: F.array_repeat(F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score")), F.least(own(x), F.lit(k)).cast("int"))))
     out = who.join(lists, "q").select("query_id", "copies", F.slice(each, 1, k).alias("best"))
     out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", F.posexplode("best").alias("at", "b"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", F.col("b.score") if long_enough else whole(F.col("b.score")).alias("score"))
 
 
 def op6_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,32 @@ def test_top_k(spark, monkeypatch, block):
     assert vafile.top_k(none, none).count() == 0
 
 
+def test_top_k_of_great_vectors(spark):
+    """Finite components take part however great they are; scores that aren't longs are null, and ranked by what they are."""
+    r = np.random.default_rng(3)
+    v = r.integers(-9, 9, (60, 4)).astype(float)
+    v[3], v[50], v[7] = [3e6, 0, 0, 0], [3e38, -3e38, 1, 0], [2.0**31, 2.0**31, -(2.0**31), 0]
+    v[11], v[12], v[0] = [2.0**60, 1, 0, 0], [2.0**60, 0, 1, 0], [1, 1, 1, 1]
+    v = v.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    ints = vafile.integers(df)
+    got = sorted(tuple(x) for x in vafile.top_k(ints, ints.filter("vec_id in (0, 3, 50)")).select("query_id", "rank", "vec_id", F.coalesce(F.col("score").cast("string"), F.lit(""))).collect())
+    exact = [[int(np.floor(256 * x)) for x in row] for row in v]
+    want = []
+    for q in (0, 3, 50):
+        best = sorted((-sum(x * y for x, y in zip(exact[q], exact[j], strict=True)), j) for j in range(60) if j != q)[:5]
+        want += [(q, k + 1, j, str(-s) if -(2**63) <= -s < 2**63 else "") for k, (s, j) in enumerate(best)]
+    assert got == want and any(w[3] == "" for w in want)
+
+
+def test_limbs(spark):
+    some = sorted({s * (1 << k) + d for s in (1, -1) for k in (0, 1, 61, 62, 63, 64, 124, 186, 300) for d in (-1, 0, 1)})
+    told = [vafile.limbs(x) for x in some]
+    assert told == sorted(told)
+    back = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t array<long>").select("i", vafile.whole(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in back] == [x if -(2**63) <= x < 2**63 else None for x in some]
+
+
 def base(t):
     def luhn(d):
         return sum((n := int(c) * (1 + i % 2)) - 9 * (n > 9) for i, c in enumerate(reversed(d))) % 10 == 0
