@@ -63,6 +63,13 @@ def whole(told: Column) -> Column:
     return F.when(fits, small)
 
 
+def rounded(told: Column) -> Column:
+    """The double near limbs; those of a negative number are turned first, or they would cancel."""
+    size = lambda of: sum((of(n).cast("double") * 2.0 ** (LIMB * (4 - n)) for n in range(5)), F.lit(0.0))
+    limb = lambda n: F.get(told, n)
+    return F.when(limb(0) < 0, -size(lambda n: F.lit((1 << LIMB) - 1 if n else -1) - limb(n))).otherwise(size(limb))
+
+
 def approximations(classes: DataFrame) -> DataFrame:
     """The file: id, least, d (the dimension) and cells of distinct vectors (id, least, v), with the ranges that their cells divide."""
     each = classes.select(F.size("v").alias("d"), F.posexplode("v").alias("k", "x")).groupBy("d", "k").agg(F.min("x").alias("low"), F.max("x").alias("high"))
@@ -160,7 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     first = materialize(read(open_.filter(F.col("at") <= 2 * (k + 1))))
     kth = first.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("at") == k + 1).select("q", F.col("score").alias("kth"))
     # As a double it is off by less than the bounds' own slack.
-    value = F.col("kth").cast("double") if long_enough else sum((F.get("kth", F.lit(n)).cast("double") * 2.0 ** (LIMB * (4 - n)) for n in range(5)), F.lit(0.0))
+    value = F.col("kth").cast("double") if long_enough else rounded(F.col("kth"))
     rest = open_.filter(F.col("at") > 2 * (k + 1)).join(kth, "q").filter(F.col("upper") >= value).select("q", "id")
     scores = first.union(read(rest))
     # Each row of a class, as often as it is there, for each row of the query's class; the query's own row once less.

@@ -181,6 +181,8 @@ def test_limbs(spark):
     assert told == sorted(told)
     back = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t array<long>").select("i", vafile.whole(F.col("t")).alias("x")).orderBy("i").collect()
     assert [r["x"] for r in back] == [x if -(2**63) <= x < 2**63 else None for x in some]
+    near = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t array<long>").select("i", vafile.rounded(F.col("t")).alias("x")).orderBy("i").collect()
+    assert all(abs(r["x"] - x) <= 1 + 1e-15 * abs(x) for r, x in zip(near, some, strict=True))
 
 
 def base(t):
