@@ -5,7 +5,10 @@ than a-z and 0-9 count as one space, so sentences wrapped over lines, behind com
 are found too; the SQL knows them only as whole lines or sentences, as the test tables have them. The identifiers, in
 order, are matched against ordered rules: each rule is a sequence of identifiers that follow each other with nothing
 known between them; what a rule matches is taken out before later rules are tried, so the more specific licence wins,
-and a rule counts once for each match.
+and a rule counts once for each match. Of a clause that names a holder any name of up to `HOLDER` words is taken. A
+sentence behind a negation ("is not licensed under") is none. Identifiers behind `SPDX-License-Identifier:` are licences
+as they stand, those that rules know in the rules' spelling; what follows a WITH is an exception and none. These two, and
+holders' names, aren't in the SQL.
 
 Null and empty texts have no sentences. Repeated rows get equal results; other columns play no part; an empty table gives
 no rows. Every known sentence has a word with one of `TRIGGERS` in it, so a text without any has none: one scan settles it.
@@ -74,6 +77,10 @@ NAMED = {
     "gnu general public license v3": "GPL-3.0-only", "gnu lesser general public license version 2 1": "LGPL-2.1-only", "gnu lesser general public license version 3": "LGPL-3.0-only", "gnu affero general public license version 3": "AGPL-3.0-only",
     "cc by nc sa 4 0": "CC-BY-NC-SA-4.0", "cc by nc nd 4 0": "CC-BY-NC-ND-4.0", "cc by 3 0": "CC-BY-3.0", "cc by sa 3 0": "CC-BY-SA-3.0", "sil open font license version 1 1": "OFL-1.1", "artistic license 2 0": "Artistic-2.0",
 }
+#: How a notice allows later versions.
+LATER = ("or later", "or any later version", "or at your option any later version")
+NAMED |= {f"{name} {later}": licence.replace("-only", "-or-later") for name, licence in list(NAMED.items()) if licence.endswith("-only") for later in LATER}
+NAMED |= {f"gnu general public license version 3 {later}": "GPL-3.0-or-later" for later in LATER}
 #: How a notice says it: every way with every name is a known sentence.
 WAYS = ("licensed under", "released under", "distributed under", "licensed under the", "released under the", "distributed under the", "under the terms of the")
 SENTENCES |= {f"{way.replace(' ', '-')}-{name.replace(' ', '-')}": f"{way} {name}" for name in NAMED for way in WAYS if name.startswith("cc") == (not way.endswith("the"))}
@@ -119,14 +126,53 @@ RULES = (
 TRIGGERS = "(?i)licen[sc]|redistribut|permission|copy|endorse|warrant|software|domain|waived|under|provided|fuck"
 
 
-#: Known sentences in a text, the longest first: their words with anything but letters and digits of ASCII between them.
-FOUND = "(?i)(?<![a-z0-9])(?:" + "|".join(s.replace(" ", "[^a-z0-9]++") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")(?![a-z0-9])"
+#: Sentences around a holder's name, and how many words it may have.
+HOLDERS = {"bsd-name": ("neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")}
+HOLDER = 16
+#: Words that turn a sentence round.
+NEGATIONS = ("not", "never", "cannot", "isn't", "no longer")
+_APART = "[^a-z0-9]++"
+
+
+def _tree(told: list[list[str]]) -> str:
+    """A pattern of word sequences that share their first words; the longest that fits is taken."""
+    heads: dict[str, list[list[str]]] = {}
+    for words in told:
+        heads.setdefault(words[0], []).append(words[1:])
+    out = []
+    for word, rest in sorted(heads.items()):
+        more = _tree([r for r in rest if r]) if any(rest) else ""
+        out.append(word + (f"(?:{_APART}{more})" + "?" * ([] in rest) if more else ""))
+    return f"(?:{'|'.join(out)})"
+
+
+#: Known sentences in a text: their words with anything but letters and digits of ASCII between them.
+FOUND = (
+    f"(?i)(?<![a-z0-9])(?<!(?:{'|'.join(NEGATIONS)})[^a-z0-9]{{1,9}})(?:"
+    + "|".join(f"{before.replace(' ', _APART)}{_APART}(?:[a-z0-9]++{_APART}){{1,{HOLDER}}}?{after.replace(' ', _APART)}" for before, after in HOLDERS.values())
+    + f"|{_tree([s.split() for s in SENTENCES.values()])})(?![a-z0-9])"
+)
+_SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([( \t]*[a-z0-9.+:-]+[ \t)]*(?:\b(?:AND|OR|WITH)[( \t]+[a-z0-9.+:-]+[ \t)]*)*)"
 
 
 def sentences(text: Column) -> Column:
     """Array of the known sentences, normalised, in order of text."""
-    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
-    return F.transform(found, lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    found = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+
+    def plain(s):
+        for name, (before, after) in HOLDERS.items():
+            s = F.when(s.startswith(before) & s.endswith(after), F.lit(SENTENCES[name])).otherwise(s)
+        return s
+
+    return F.transform(found, plain)
+
+
+def declared(text: Column) -> Column:
+    """Array of the licences that SPDX expressions name, in order of text."""
+    told = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1)), lambda e: F.regexp_extract_all(F.regexp_replace(e, r"(?i)\bWITH[( \t]+[a-z0-9.+:-]+", " "), F.lit("[A-Za-z0-9.+:-]+"), F.lit(0))))
+    told = F.filter(told, lambda w: ~F.upper(w).isin("AND", "OR"))
+    known = F.create_map(*[F.lit(x) for n in sorted({n for n, _ in RULES}) for x in (n.lower(), n)])
+    return F.transform(told, lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), w))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -135,18 +181,26 @@ def scan(docs: DataFrame) -> DataFrame:
     names = sorted(SENTENCES)
     known = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (SENTENCES[n], k)])
     ids = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
-    df = documents(docs).select("doc_id", F.when(text.rlike(TRIGGERS), ids).otherwise(F.expr("cast(array() as array<int>)")).alias("_ids"))
+    spdx = F.when(text.contains("icense-") | text.contains("ICENSE-"), declared(text)).otherwise(F.expr("cast(array() as array<string>)"))
+    df = documents(docs).select("doc_id", F.when(text.rlike(TRIGGERS), ids).otherwise(F.expr("cast(array() as array<int>)")).alias("_ids"), spdx.alias("_spdx"))
     # "<3><7>": identifiers as text; a rule is a run of them.
     df = df.withColumn("_rest", F.array_join(F.transform("_ids", lambda k: F.concat(F.lit("<"), k.cast("string"), F.lit(">"))), ""))
     counts = []
+    alone = {names.index(n[0]): licence for licence, n in RULES if len(n) == 1 and sum(n[0] in rule for _, rule in RULES) == 1}
     for r, (name, rule) in enumerate(RULES):
         run = "".join(f"<{names.index(n)}>" for n in rule)
+        if len(rule) == 1 and names.index(rule[0]) in alone:
+            continue
         n = (F.length("_rest") - F.length(F.replace(F.col("_rest"), F.lit(run), F.lit("")))) / len(run)
         # A hole stays where a rule has matched, so nothing joins over it.
         df = df.withColumns({f"_n{r}": n.cast("int"), "_rest": F.replace(F.col("_rest"), F.lit(run), F.lit("|"))})
         counts.append(F.array_repeat(F.lit(name), F.col(f"_n{r}")))
+    # Rules of one sentence that no other rule has: what is left of them, in any order, is one licence each.
+    left = F.regexp_extract_all("_rest", F.lit("<([0-9]+)>"), F.lit(1))
+    told = F.create_map(*[F.lit(x) for k, licence in sorted(alone.items()) for x in (str(k), licence)])
+    counts.append(F.filter(F.transform(left, lambda k: F.try_element_at(told, k)), lambda n: n.isNotNull()))
     table_ = F.array(*[F.lit(n) for n in names])
-    return df.select("doc_id", F.transform("_ids", lambda k: F.element_at(table_, k + 1)).alias("sentence_ids"), F.concat(*counts).alias("licenses"))
+    return df.select("doc_id", F.transform("_ids", lambda k: F.element_at(table_, k + 1)).alias("sentence_ids"), F.concat(*counts, "_spdx").alias("licenses"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,39 @@ def test_licenses(spark):
     assert licenses.scan(df.filter("doc_id < 0")).count() == 0
 
 
+def test_names_holders_and_negations_of_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    name = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cases = [
+        (bsd + name.format("the University of\n * California, Berkeley"), ["BSD-3-Clause"]),
+        (bsd + name.format("the copyright holder"), ["BSD-3-Clause"]),
+        (bsd, ["BSD-2-Clause"]),
+        ("Licensed under the GNU General Public License, version 2 or later.", ["GPL-2.0-or-later"]),
+        ("licensed under the GNU General Public License version 2 (or, at your option, any later version)", ["GPL-2.0-or-later"]),
+        ("Licensed under the GNU General Public License, version 2.", ["GPL-2.0-only"]),
+        ("released under the GNU Lesser General Public License version 3 or any later version", ["LGPL-3.0-or-later"]),
+        ("It is not licensed under the MIT license.", []),
+        ("This was never released under the MIT License; it is released under the ISC License.", ["ISC"]),
+        ("# SPDX-License-Identifier: MIT", ["MIT"]),
+        ("/* SPDX-License-Identifier: (apache-2.0 OR MIT) AND LicenseRef-x */ x", ["Apache-2.0", "LicenseRef-x", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\nMIT", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier:", []),
+        ("Licensed under the ISC licensee", []),
+    ]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [sorted(r["licenses"]) for r in rows] == [w for _, w in cases]
+
+
+def test_every_known_sentence_is_found(spark):
+    """The tree of words finds what a plain alternative of all sentences finds, in texts of joined and cut sentences."""
+    r = np.random.default_rng(8)
+    told = sorted(licenses.SENTENCES.values())
+    plain = re.compile(r"(?<![a-z0-9])(?:" + "|".join(s.replace(" ", "[^a-z0-9]+") for s in sorted(told, key=len, reverse=True)) + ")(?![a-z0-9])")
+    texts = told + [" ".join(told[i] if k % 3 else told[i][: int(r.integers(5, 60))] for k, i in enumerate(r.integers(0, len(told), 6))) for _ in range(200)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", licenses.sentences(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [x["s"] for x in got] == [[re.sub("[^a-z0-9]+", " ", m) for m in plain.findall(t)] for t in texts]
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
