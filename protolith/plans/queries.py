@@ -268,6 +268,25 @@ def greedy_automap(spark, sf_dir):
     return matching.greedy(scores, "task")
 
 
+#: Suppliers and customers of a nation, with a score made of their keys.
+_SCORED = "((s_suppkey * 37 + c_custkey * 91) % 100) / 100.0"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT s_nationkey AS task, s_suppkey AS source, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, list(c_custkey ORDER BY {_SCORED} DESC, c_custkey) FILTER ({_SCORED} >= 0.75) AS wanted
+  FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_nationkey, s_suppkey),
+g AS (SELECT task, source, r, wanted[1] AS target, CASE WHEN wanted[1] IS NULL THEN []::BIGINT[] ELSE [wanted[1]] END AS used FROM c WHERE r = 1
+  UNION ALL SELECT task, source, r, t, CASE WHEN t IS NULL THEN used ELSE list_append(used, t) END FROM (
+    SELECT c.task, c.source, c.r, g.used, list_filter(c.wanted, lambda x: NOT list_contains(g.used, x))[1] AS t FROM g JOIN c ON c.task = g.task AND c.r = g.r + 1))
+SELECT task, 'Supplier' || source AS source, 'Customer' || target AS target, ((source * 37 + target * 91) % 100) / 100.0 AS similarity FROM g WHERE target IS NOT NULL""")
+def greedy_scores(spark, sf_dir):
+    """A customer for each supplier of a nation, in order, the best that is left."""
+    s, c = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "customer")
+    both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    scores = both.select(F.col("s_nationkey").alias("task"), F.concat(F.lit("Supplier"), "s_suppkey").alias("source"), F.col("s_suppkey").alias("source_ord"), F.concat(F.lit("Customer"), "c_custkey").alias("target"), F.col("c_custkey").alias("target_ord"), F.expr(_SCORED).cast("double").alias("similarity"))
+    return matching.greedy(scores, "task")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of messages with message ID, canonical type, bits and value range: rows made of part and lineitem."""
     fields = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("seq"), F.expr(_RANGES).alias("value"))
