@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import columns, names, ranges, remarks, text, types, units
-from ..operators import classify, export, extract, link, lookup, normalise, stores, tables
+from ..functions import columns, remarks, text, units
+from ..operators import export, extract, link, normalise, stores, tables
 from ..staging import staged
 from .registry import query, read, spread
 
@@ -39,12 +39,12 @@ _HEADS = "CASE p_partkey % 7 WHEN 0 THEN array('数据项名称', '消息', '计
 
 @query("""
 SELECT p_partkey, CASE p_partkey % 7 WHEN 3 THEN 'skip' ELSE 'field_def' END AS table_type,
-  CASE p_partkey % 7 WHEN 0 THEN '消息' WHEN 1 THEN '某' || p_brand WHEN 2 THEN '名称' WHEN 3 THEN '' WHEN 4 THEN '甲' WHEN 5 THEN CASE WHEN aggregate THEN '某聚合式' ELSE '某' || p_brand END ELSE '消息类型' END AS msg_name,
-  CAST(CASE p_partkey % 7 WHEN 2 THEN 0 WHEN 3 THEN NULL WHEN 4 THEN 0 WHEN 6 THEN 1 ELSE 1 END AS INTEGER) AS header FROM (SELECT *, true AS aggregate FROM part WHERE p_partkey % 7 <> 5 AND p_partkey % 7 <> 1)""")
+  CASE p_partkey % 7 WHEN 0 THEN '消息' WHEN 1 THEN '某' || p_brand || '聚合式' WHEN 2 THEN '名称' WHEN 3 THEN '' WHEN 4 THEN '甲' WHEN 5 THEN '某' || p_brand || '聚合式' ELSE '消息类型' END AS msg_name,
+  CAST(CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 3 THEN NULL WHEN 6 THEN 1 ELSE 0 END AS INTEGER) AS header FROM part""")
 def aggregate_names(spark, sf_dir):
     """Names of tables that a caption calls aggregate: from the first row, else from the caption."""
     body = "array(array('序号', '内容', '类型'), array('1', '某', 'UINT8'))"
-    d = read(spark, sf_dir, "part").filter("p_partkey % 7 not in (1, 5)").select("p_partkey", F.expr(f"concat(array({_HEADS}), {body})").alias("grid"), F.when(F.col("p_partkey") % 7 == 3, F.lit("某")).otherwise(F.concat(F.lit("某"), "p_brand", F.lit("聚合式"))).alias("caption"))
+    d = read(spark, sf_dir, "part").select("p_partkey", F.expr(f"concat(array({_HEADS}), {body})").alias("grid"), F.when(F.col("p_partkey") % 7 == 3, F.lit("某")).otherwise(F.concat(F.lit("某"), "p_brand", F.lit("聚合式"))).alias("caption"))
     d = d.withColumn("u", tables.understood(F.col("grid"), F.col("caption")))
     return d.select("p_partkey", "u.table_type", "u.msg_name", "u.header")
 
@@ -248,6 +248,3 @@ def collected_tables(spark, sf_dir):
     t = _tables(spark, sf_dir)
     found = link.first_of_kind(t, (("信源系统码", "信源机器码"),)).union(link.first_of_kind(t, (("消息ID", "消息标识"), ("信息内容",))))
     return found.select("doc", "index", F.get("headers", 0).alias("first_column"), F.size("data_rows").cast("long").alias("n"))
-
-
-__all__ = ["classify", "lookup", "names", "ranges", "types"]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import formulas, text, types
+from ..functions import formulas, text
 from ..functions.columns import names as column_names
 from ..functions.columns import renamed
-from ..operators import cascade, knowledge, legacy, link, lookup, matching, ordered, stores
+from ..operators import cascade, knowledge, legacy, link, lookup, matching, stores, versions
+from ..staging import shared_dir
 from .documents import row
 from .registry import query, read
 
@@ -72,12 +75,23 @@ def mappings_per_target(spark, sf_dir):
     return stores.per_target(read(spark, sf_dir, "events").select(F.col("event_type").alias("target")))
 
 
-@query("SELECT count(*) AS common, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderstatus <> 'X') AS different, 1 - (count(*) FILTER (o_orderkey % 5 = 0 AND o_orderstatus <> 'X')) / count(*) AS rate FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0")
+@query("SELECT count(*) AS common, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderstatus <> 'X') AS different, (count(*) - count(*) FILTER (o_orderkey % 5 = 0 AND o_orderstatus <> 'X')) / count(*) AS rate FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0")
 def consistency_rate(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     g = o.filter("o_orderkey % 13 <> 0").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END"))
-    out = stores.consistency(lookup.differences(o.filter("o_orderkey % 11 <> 0"), g, "o_orderkey", ["o_orderstatus"]))
-    return out.withColumn("rate", 1 - F.col("different") / F.col("common"))
+    return stores.consistency(lookup.differences(o.filter("o_orderkey % 11 <> 0"), g, "o_orderkey", ["o_orderstatus"]))
+
+
+@query("""WITH l AS (SELECT l_returnflag AS name, '' || l_partkey AS content, l_shipdate::VARCHAR AS unit, '' || l_suppkey AS kind, l_orderkey * 100 + l_linenumber AS ord, l_partkey FROM lineitem),
+a AS (SELECT name, content, arg_max(unit, ord) AS unit, arg_max(kind, ord) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY name, content, ord ORDER BY unit DESC, kind DESC) AS r FROM l) WHERE r = 1 AND name <> 'N' GROUP BY name, content),
+g AS (SELECT name, content, arg_max(CASE WHEN l_partkey % 3 = 0 THEN 'x' ELSE unit END, ord) AS unit, arg_max(CASE WHEN l_partkey % 5 = 0 THEN '' ELSE kind END, ord) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY name, content, ord ORDER BY unit DESC, kind DESC) AS r FROM l) WHERE r = 1 AND l_partkey % 7 <> 0 GROUP BY name, content)
+SELECT name, content, list_filter([CASE WHEN a.unit <> g.unit THEN 'unit' END, CASE WHEN a.kind <> g.kind THEN 'kind' END], lambda x: x IS NOT NULL) AS fields FROM a JOIN g USING (name, content)""")
+def golden_rows(spark, sf_dir):
+    """Rows of an export beside those expected, by two columns; of each key the last row counts."""
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), F.concat(F.lit(" "), "l_partkey").alias("content"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("unit"), F.col("l_suppkey").cast("string").alias("kind"), F.struct(F.col("l_orderkey") * 100 + F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.col("l_suppkey").cast("string")).alias("ord"), "l_partkey")  # noqa: E741
+    actual = l.withColumn("name", F.when(F.col("name") != "N", F.col("name")))
+    golden = l.filter("l_partkey % 7 <> 0").withColumn("unit", F.when(F.col("l_partkey") % 3 == 0, "x").otherwise(F.col("unit"))).withColumn("kind", F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit(" "), "kind")))
+    return lookup.compared(actual, golden, ["name", "content"], "ord", ["unit", "kind"])
 
 
 @query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
@@ -119,6 +133,20 @@ def kb_top_hits(spark, sf_dir):
     return knowledge.folded(e, "ord").orderBy(F.desc("hits"), "first_seen").limit(10).select("source", "table_id", "hits")
 
 
+@query("""WITH e AS (SELECT 'u' || user_id AS original, event_type, event_id % 100 / 100.0 AS confidence, event_id + (event_id % 3) * 1000000000 AS ord FROM events)
+SELECT original, arg_max(event_type, ord) AS target, CAST(arg_max(confidence, ord) AS DOUBLE) AS confidence, arg_min(event_type, ord) AS first_target, CAST(max(confidence) AS DOUBLE) AS surest, CAST(count(*) AS BIGINT) AS hits FROM e GROUP BY original""")
+def saved_mappings(spark, sf_dir):
+    """Mappings saved in three versions of a store, each with the knowledge base that learns them, and read back."""
+    store = versions.Store(spark, f"{shared_dir(spark).rstrip('/')}/protolith/{uuid.uuid4().hex}-store")
+    e = read(spark, sf_dir, "events")
+    for k in range(3):
+        part = e.filter(F.col("event_id") % 3 == k)
+        versions.save_mappings(store, part.select(F.concat(F.lit("u"), "user_id").alias("original"), F.col("event_type").alias("target"), (F.col("event_id") % 100 / 100.0).cast("double").alias("confidence"), F.lit("").alias("created_at"), (F.col("event_id") + k * 1_000_000_000).alias("ord")))
+    saved = store.read()
+    learnt = saved["knowledge"].select(F.col("source").alias("original"), F.col("target").alias("first_target"), F.col("confidence").alias("surest"), "hits")
+    return saved["mappings"].select("original", "target", "confidence").join(learnt, "original")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def history_kept(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumn("raw_tables", F.array(F.lit(1)))
@@ -165,6 +193,14 @@ def semantic_match(spark, sf_dir):
     return matching.semantic(e.filter("vec_id % 100 = 0").select(F.col("t").alias("field"), "vector"), e.select(F.col("t").alias("word"), F.col("vec_id").alias("ord"), "vector")).select("field", "word", "similarity")
 
 
+@query("""WITH s AS (SELECT q.vec_id AS field, v.vec_id AS word, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+SELECT 'v' || field AS field, 'v' || word AS word, round(s, 4) AS similarity FROM s WHERE s >= 0.72""")
+def semantic_blocks(spark, sf_dir):
+    """Proposals by meaning, from 0.72 on, of the query set against all rows, in blocks of vectors."""
+    e = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("t"), F.col("embedding").alias("vector"), "vec_id")
+    return matching.semantic(e.filter("vec_id % 100 = 0").select(F.col("t").alias("field"), "vector"), e.select(F.col("t").alias("word"), F.col("vec_id").alias("ord"), "vector"), 0.72, most=0).select("field", "word", "similarity")
+
+
 @query()
 def detailed_suggestions(spark, sf_dir):
     """What is found of each name, and proposals for those that aren't found."""
@@ -279,6 +315,3 @@ def first_plain_row(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").withColumn("bit", F.col("l_linestatus") != "F")
     order = Window.partitionBy("l_orderkey", "bit").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return rows.withColumn("name", F.when(~F.col("bit") & (F.row_number().over(order) == 1), "某").otherwise("")).select("l_orderkey", "l_linenumber", "l_partkey", "name")
-
-
-__all__ = ["ordered", "types"]
