@@ -35,16 +35,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the least doc_id. Links are at 0.8 on shingles of five words.
 
-    Of rows that repeat a doc_id and its text one stays. Rows without doc_id are told apart by nothing and stay.
+    Of several texts of one doc_id each is a document of its own: one that is alike to another document's goes. Of rows
+    that repeat a doc_id and its text one stays. Rows without doc_id are told apart by nothing and stay.
     """
     session(spark)
-    kept = minhash.group(docs, width=5, level=80).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null")
-    again = materialize(named.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id").distinct())
-    out = named.join(kept, "doc_id", "left_semi").select(docs.columns)
-    if not again.isEmpty():
-        twice = out.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-        out = out.join(again, "doc_id", "left_anti").select(docs.columns).union(twice)
+    kept = minhash.group(docs, width=5, level=80, hashed=True).filter("kept").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    kept = materialize(kept)
+    th = F.xxhash64(docs["text"])
+    same = lambda few: (docs["doc_id"].cast("long") == few["doc_id"]) & (th == few["th"])
+    many = kept.filter("n > 1")
+    if many.isEmpty():
+        out = docs.join(kept, same(kept), "left_semi")
+    else:
+        one = kept.filter("n = 1")
+        out = docs.join(one, same(one), "left_semi").union(docs.join(many, same(many), "left_semi").dropDuplicates(["doc_id", "text"]))
     return out.union(docs.filter("doc_id is null"))
 
 

@@ -131,8 +131,11 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the component's least doc_id) of every document."""
+def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int = BANDS, rows: int = ROWS, hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the component's least doc_id) of every document.
+
+    With `hashed` also th, the hash of the text, which tells rows of one doc_id apart.
+    """
     docs = documents(docs, F.xxhash64("text").alias("th"))
     sketch = materialize(docs.mapInArrow(tidy(_sketch(width, bands, rows)), "doc_id long, th long, n_shingles long, set_a long, set_b long, buckets array<long>"))
     key = ["n_shingles", "set_a", "set_b"]
@@ -193,9 +196,9 @@ def group(docs: DataFrame, width: int = WIDTH, level: int = LEVEL, bands: int =
     if apart:  # a label may be an id by hash: the component's least doc_id is its name
         least = materialize(named.groupBy("_c").agg(F.min("doc_id").alias("_least")))
         named = named.join(least, "_c").select(*key, F.col("_least").alias("_c"))
-    out = sketch.drop("buckets", "th").join(materialize(named.select(*key, "_c")), key, "left")
+    out = sketch.drop("buckets").join(materialize(named.select(*key, "_c")), key, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", *["th"] * hashed, "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
