@@ -47,3 +47,34 @@ def dashboard(tasks: DataFrame, order: list, ok: Column, recent: int = 10) -> Da
     """All tasks, and how many of the newest succeeded and failed."""
     new = tasks.orderBy(*order).limit(recent).agg(F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
     return tasks.agg(F.count("*").alias("total")).crossJoin(new)  # one row each
+
+
+def searched(knowledge: DataFrame, word: str = "", table_id: str = "") -> DataFrame:
+    """Mappings whose source or target holds a word, without regard to case, and those of one table; empty: all."""
+    w = F.lit(word.lower())
+    out = knowledge.filter(F.lower("source").contains(w) | F.lower("target").contains(w)) if word else knowledge
+    return out.filter(F.col("table_id") == table_id) if table_id else out
+
+
+def all_stats(mappings: DataFrame, by: str, confidence: str) -> DataFrame:
+    """`stats` of each group and, under a null name, of all; groups without a name are told apart by `whole`."""
+    c = F.col(confidence)
+    told = mappings.rollup(by).agg(F.count("*").alias("total"), F.count_if(c >= 0.9).alias("high"), F.count_if((c >= 0.7) & (c < 0.9)).alias("medium"), F.count_if(c < 0.7).alias("low"), (F.grouping(by) == 1).alias("whole"))
+    return told.select(by, "whole", "total", "high", "medium", "low")
+
+
+def distinct_quality(groups: DataFrame, fields: DataFrame, by: list[str], field: str, kind: str) -> DataFrame:
+    """`quality` over distinct fields of each group, the first kind by name of one that has several; `unknown` of a group without fields.
+
+    A group is a row of `groups`, which has the columns of `by`.
+    """
+    once = fields.groupBy(*by, field).agg(F.min(kind).alias(kind))
+    out = groups.select(*by).distinct().join(quality(once, by, kind), by, "left")
+    counts = [c for c in out.columns if c.endswith("_count") or c == "total"]
+    return out.withColumn("level", F.coalesce("level", F.lit("unknown"))).fillna(0, counts).fillna(0.0, ["score"])
+
+
+def page_of(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
+    """A page of rows, each with `total`: how many rows there are on all pages."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, number, size).join(F.broadcast(total))  # one row

@@ -315,3 +315,37 @@ def first_plain_row(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").withColumn("bit", F.col("l_linestatus") != "F")
     order = Window.partitionBy("l_orderkey", "bit").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return rows.withColumn("name", F.when(~F.col("bit") & (F.row_number().over(order) == 1), "某").otherwise("")).select("l_orderkey", "l_linenumber", "l_partkey", "name")
+
+
+# --- the knowledge base, searched and counted -----------------------------------------------------------------------
+
+
+@query("SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'blue') OR contains(lower(p_type), 'blue')) AND p_brand = 'Brand#11'")
+def knowledge_search(spark, sf_dir):
+    """Mappings by a word in source or target, of one table."""
+    k = read(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("source"), F.col("p_type").alias("target"), F.col("p_brand").alias("table_id"))
+    return knowledge.searched(k, "Blue", "Brand#11").select("p_partkey")
+
+
+@query("""SELECT table_id, whole, total, high, medium, low FROM (SELECT CASE WHEN event_id % 4 > 0 THEN 't' || (event_id % 4) END AS table_id, false AS whole, count(*) AS total, count(*) FILTER (event_id % 100 >= 90) AS high, count(*) FILTER (event_id % 100 BETWEEN 70 AND 89) AS medium, count(*) FILTER (event_id % 100 < 70) AS low FROM events GROUP BY ALL)
+UNION ALL SELECT NULL, true, count(*), count(*) FILTER (event_id % 100 >= 90), count(*) FILTER (event_id % 100 BETWEEN 70 AND 89), count(*) FILTER (event_id % 100 < 70) FROM events""")
+def stats_of_all(spark, sf_dir):
+    """By table and over all in one pass, with mappings of no table."""
+    m = read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("t"), F.col("event_id") % 4)).alias("table_id"), (F.col("event_id") % 100 / 100.0).cast("double").alias("confidence"))
+    return knowledge.all_stats(m, "table_id", "confidence")
+
+
+@query("""WITH f AS (SELECT c_nationkey AS doc, c_mktsegment AS field, min(CASE c_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'semantic' ELSE 'unmatched' END) AS k FROM customer WHERE c_nationkey % 4 > 0 GROUP BY ALL),
+q AS (SELECT doc, count(*) AS total, count(*) FILTER (k = 'exact') AS e, count(*) FILTER (k = 'semantic') AS s FROM f GROUP BY doc)
+SELECT n_nationkey AS doc, coalesce(total, 0) AS total, coalesce(e, 0) AS exact_count, coalesce(s, 0) AS fuzzy_count, coalesce(round((e + 0.85::DOUBLE * s) / total, 3), 0) AS score,
+  CASE WHEN total IS NULL THEN 'unknown' WHEN (e + 0.85::DOUBLE * s) / total > 0.9 THEN 'excellent' WHEN (e + 0.85::DOUBLE * s) / total > 0.7 THEN 'good' ELSE 'poor' END AS level FROM nation LEFT JOIN q ON doc = n_nationkey""")
+def quality_of_documents(spark, sf_dir):
+    """Mapping quality over distinct fields; documents without fields are unknown."""
+    c = read(spark, sf_dir, "customer").filter("c_nationkey % 4 > 0").select(F.col("c_nationkey").alias("doc"), F.col("c_mktsegment").alias("field"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'semantic' ELSE 'unmatched' END").alias("k"))
+    groups = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc"))
+    return knowledge.distinct_quality(groups, c, ["doc"], "field", "k").select("doc", "total", "exact_count", "fuzzy_count", "score", "level")
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_with_total(spark, sf_dir):
+    return knowledge.page_of(read(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderkey"], 3, 20).select("o_orderkey", "total")
