@@ -152,8 +152,9 @@ class Memory:
         plain = [s for s in new if s and not s[-1].isspace()]
         for i, j in groups_of([len(s) + 1 for s in plain], 1 << 16):
             self._align(plain[i:j])
+        # A word before it, as B gives an empty text no token, not even for the blank.
         for s in new.difference(plain):
-            self._align([s])
+            self._align(["a", s])
         self._gather()
 
     def _align(self, new: list[str]) -> None:
