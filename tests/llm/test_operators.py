@@ -56,6 +56,19 @@ def test_suffix(docs, none, most, monkeypatch):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_suffix_of_texts_over_a_segment(spark, tmp_path):
+    """Texts longer than what a task reads at once, with repeats across the cut, inside one text and between two."""
+    r = np.random.default_rng(12)
+    word = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    a = word(suffix.SEGMENT + 9000)
+    passage = a[suffix.SEGMENT - 150 : suffix.SEGMENT + 260]
+    texts = [a, word(900) + passage + word(50), word(500) + a[4000:4230] + word(suffix.SEGMENT) + a[4000:4230]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    rows = {x["doc_id"]: bytes(x["kept"]) for x in suffix.remove_repeats(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    want = repeats(texts)
+    assert [rows[i] for i in range(3)] == want and sum(map(len, want)) < sum(map(len, texts)) - 1000
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.binary(min_size=230, max_size=420).map(lambda b: bytes(97 + x % 2 for x in b[:40]) * 8), min_size=1, max_size=5))
 def test_refine(contexts):
@@ -514,3 +527,23 @@ def test_wrappers_by_salt(spark, monkeypatch):
 
 def test_digest_of_tokens():
     assert zlib.crc32(packing.encode("a", packing.vocabulary())) >= 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_pieces_of_texts_over_a_sequence(spark):
+    """Texts of more than 4096 tokens: full pieces and a last one, whose ids are the library's."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary())
+    texts = ["word " * 4095, "word " * 4096, "one two three " * 4000, "short", None, "naïve “quoted” – 日本 " * 1500]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).orderBy("doc_id", "piece").collect()
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        own = [x for x in rows if x["doc_id"] == i]
+        cut = [ids[k : k + 4096] for k in range(0, len(ids), 4096)]
+        assert [(x["piece"], x["start"], x["length"], list(x["ids"])) for x in own] == [(k, 4096 * k, len(c), c) for k, c in enumerate(cut)]
+        assert [x["ids_crc32"] for x in own] == [zlib.crc32(np.array(c, "<u4").tobytes()) for c in cut]
+    assert [sum(x["doc_id"] == i for x in rows) for i in (0, 1)] == [1, 2]
+    packed = packing.pack(spark.createDataFrame(rows).select("doc_id", "piece", "length")).collect()
+    for s in {x["sequence_id"] for x in packed}:
+        inside = sorted((x["offset"], x["length"]) for x in packed if x["sequence_id"] == s)
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= 4096
