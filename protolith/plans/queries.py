@@ -287,6 +287,21 @@ def greedy_scores(spark, sf_dir):
     return matching.greedy(scores, "task")
 
 
+#: What `_RANGES` are formatted to.
+_FORMATTED = "CASE l_linenumber % 5 WHEN 0 THEN '[' || q || ',100]' WHEN 1 THEN '[' || q || ',400]' WHEN 2 THEN '[-40,-' || q || ']' WHEN 3 THEN '{1, 2, ' || q || '}' ELSE '—' END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_FORMATTED} AS value_range FROM (SELECT *, CAST(l_quantity AS INTEGER) AS q FROM lineitem)")
+def range_cases(spark, sf_dir):
+    """Ranges beside what each form of them is to become."""
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ranges.formatted(F.expr(_RANGES)).alias("value_range"))
+
+
+@query(f"""SELECT p_name AS message, '0x' || printf('%X', last) AS message_id, l_linenumber AS seq,
+  CASE p_size % 8 WHEN 0 THEN 'UINT32' WHEN 1 THEN 'UINT16' WHEN 2 THEN 'UINT32' WHEN 3 THEN '24bit' WHEN 4 THEN 'FLOAT' WHEN 6 THEN 'X' || p_size ELSE '' END AS std_type,
+  CAST(CASE p_size % 8 WHEN 0 THEN 32 WHEN 1 THEN 16 WHEN 2 THEN 32 WHEN 3 THEN 24 WHEN 4 THEN 32 WHEN 6 THEN p_size ELSE 0 END AS INTEGER) AS bits,
+  CASE WHEN p_size % 8 IN (0, 2, 3, 4) THEN 'normal' WHEN p_size % 8 = 1 THEN 'inferred' ELSE 'warning' END AS type_status, {_FORMATTED} AS value_range
+FROM (SELECT *, CAST(l_quantity AS INTEGER) AS q FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN (SELECT p_name, max(p_partkey) AS last FROM part GROUP BY p_name) USING (p_name)""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of messages with message ID, canonical type, bits and value range: rows made of part and lineitem."""
     fields = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("seq"), F.expr(_RANGES).alias("value"))
