@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,8 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows written and read back: the lineage ends there, and a lost executor costs no earlier step."""
+def staged(df: DataFrame, seen: dict[str, int] | None = None, name: str = "") -> DataFrame:
+    """The rows written and read back: the lineage ends there, and a lost executor costs no earlier step.
+
+    With `seen` the rows are counted under a name as they are written, without a pass of their own.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/protolith/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if seen is None:
+        df.write.parquet(path)
+    else:
+        count = Observation(f"{name}-{uuid.uuid4().hex}")
+        df.observe(count, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        seen[name] = count.get["rows"]
     return df.sparkSession.read.schema(df.schema).parquet(path)
