@@ -28,7 +28,9 @@ def preceding(df: DataFrame, keys, order, value: Column, name: str) -> DataFrame
 
 def following(df: DataFrame, keys, order, value: Column, name: str) -> DataFrame:
     """The least value after this row: the next bit table."""
-    return df.withColumn(name, F.min(value).over(_by(keys, order).rowsBetween(1, Window.unboundedFollowing)))
+    # Backwards: a frame from here to the end would be counted anew for each row.
+    back = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return df.withColumn(name, F.min(value).over(back.rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def on_first_row(df: DataFrame, keys, order, columns) -> DataFrame:
