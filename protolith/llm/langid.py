@@ -206,6 +206,46 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTA
     return model
 
 
+def fit_counts(labelled: DataFrame) -> dict:
+    """A model of the same form from the trigrams of every labelled document: log-odds of their shares, no sample.
+
+    labelled has text and lang. Tasks count by language, and only counts are added up.
+    """
+
+    def run(batches):
+        schema, of = pa.schema([("lang", pa.string()), ("n", pa.binary())]), {}
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array([n.tobytes() for n in of.values()], pa.binary())], schema=schema)
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                padded = f" {text.lower()} "
+                for at in range(0, len(padded) - 2, CHUNK_CHARS):
+                    n = np.bincount(hashes(padded[at : at + CHUNK_CHARS + 2]), minlength=DIMENSIONS)
+                    of[lang] = of[lang] + n if lang in of else n
+            if len(of) > 256:
+                yield told()
+                of.clear()
+        if of:
+            yield told()
+
+    def add(t):
+        total = sum(np.frombuffer(n, np.int64) for n in t.column("n").to_pylist())
+        return pa.table({"lang": t.column("lang")[:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+    found = known.mapInArrow(tidy(run), "lang string, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary").collect()
+    n = {r["lang"]: np.frombuffer(r["n"], np.int64) for r in found}
+    names = sorted(n)
+    of = {k: family(k) for k in names}
+    log = lambda x: np.log((x + 1) / (x.sum() + DIMENSIONS))
+    families = sorted(set(of.values()))
+    pairs, w = [], []
+    for kind, counts_of in [("family", {f: sum(n[k] for k in names if of[k] == f) for f in families}), *[(f, {k: n[k] for k in names if of[k] == f}) for f in families]]:
+        for p, q in combinations(sorted(counts_of), 2):
+            pairs.append((kind, p, q))
+            w.append(log(counts_of[p]) - log(counts_of[q]))
+    return {"names": names, "of": of, "pairs": pairs, "w": np.array(w, np.float32).T if w else np.zeros((DIMENSIONS, 0), np.float32), "b": np.zeros(len(w))}
+
+
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, text, lang_pred and score of every document."""
 
@@ -255,6 +295,11 @@ def model_of(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     return fit(documents(docs, F.col("lang").cast("string").alias("lang")).filter(~F.coalesce(held_out(), F.lit(True))), per_language)
 
 
+def counted_model_of(docs: DataFrame) -> dict:
+    """`fit_counts` of the documents that aren't held out."""
+    return fit_counts(documents(docs, F.col("lang").cast("string").alias("lang")).filter(~F.coalesce(held_out(), F.lit(True))))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, model_of(docs))

@@ -141,6 +141,43 @@ def test_pooling_stays_inside_a_text(toxic):
         assert np.allclose(toxicity.pooled(net, [d])[0], row, atol=1e-5)
 
 
+def test_every_labelled_document_is_learned_from(spark):
+    """More documents of a label than any sample took: all are counted, in one share or in many."""
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('word of ', if(id % 2 = 0, 'even', 'odd'), ' w', id) as text")
+    known = toxicity.labelled(docs, spark.range(9000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")).select("h", "toxic", "text")
+    one, four = toxicity.counted(known, 1), toxicity.counted(known, 4)
+    assert np.array_equal(one, four) and one.max(axis=1).tolist() == [4500, 4500]
+    for k, word in enumerate((b"even", b"odd")):
+        assert one[k, toxicity.buckets(word)[0][0, 0]] >= 4500
+
+
+def test_shares_are_averaged(spark, toxic, monkeypatch):
+    rows, docs, _, labels = toxic
+    monkeypatch.setattr(toxicity, "SHARE", 20_000)
+    asked, own = [], toxicity.improved
+    monkeypatch.setattr(toxicity, "improved", lambda *a: asked.append(a[-1]) or own(*a))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, *toxicity.model_of(docs.repartition(6), labels)).collect()}
+    held = [(i, y) for i, *_, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert min(asked) > 1 and sum((got[i] >= 0.5) == bool(y) for i, y in held) >= 0.95 * len(held)
+
+
+def test_long_text_is_trained_on_by_its_strongest_words(toxic, monkeypatch):
+    net = toxic[2][0]["net"]
+    raw = " ".join(t for _, t, *_ in corpus(200)).encode()
+    whole = toxicity.pooled(net, [toxicity.buckets(raw)[0]])[0]
+    monkeypatch.setattr(toxicity, "CHUNK", 501)
+    few = toxicity.read(net, raw)
+    assert len(few) < 150 and np.allclose(toxicity.pooled(net, [few])[0], whole, atol=1e-2)
+
+
+def test_sums_of_a_table_give_the_same_thresholds(spark):
+    rng = np.random.default_rng(4)
+    langs, y = ["a" if i % 3 else "b" for i in range(300)], (rng.random(300) < 0.3).astype(float)
+    raw = y + rng.standard_normal(300)
+    a, b = toxicity.calibrate(raw, y, np.ones(300), langs), toxicity.calibrated(spark.createDataFrame([(float(r), int(t), v) for r, t, v in zip(raw, y, langs, strict=True)], "raw double, toxic int, lang string"))
+    assert all(a[k] == pytest.approx(b[k], abs=1e-6) for k in ("slope", "centre", "offset", "by"))
+
+
 def test_one_kind_of_label(spark, toxic):
     _, docs, _, _ = toxic
     some = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int")
